@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.llm.bpe import op3_bpe
 from pulsegrid.llm.decontamination import op6_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
     "op6_decontamination": op6_decontamination,
 }
 
