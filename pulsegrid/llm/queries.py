@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.bpe import op3_bpe
 from pulsegrid.llm.decontamination import op6_decontamination
+from pulsegrid.llm.quality import op9_quality
+from pulsegrid.llm.toxicity import op1_toxicity
+from pulsegrid.llm.url_filter import op5_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_bpe": op3_bpe,
+    "op5_urls": op5_urls,
     "op6_decontamination": op6_decontamination,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
