@@ -33,7 +33,7 @@ IDENTITY = (
     ("woman", "man"), ("women", "men"), ("girl", "boy"), ("female", "male"),
     ("deaf", "blind", "disabled", "autistic"), ("immigrant", "refugee", "native"), ("old", "young", "elderly"),
 )
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 @dataclass(frozen=True)
