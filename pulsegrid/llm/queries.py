@@ -11,6 +11,7 @@ from pulsegrid.llm.decontamination import op6_decontamination
 from pulsegrid.llm.language import op10_language
 from pulsegrid.llm.quality import op9_quality
 from pulsegrid.llm.simhash import op8_simhash
+from pulsegrid.llm.suffix_tree_lm import op7_suffix_tree
 from pulsegrid.llm.toxicity import op1_toxicity
 from pulsegrid.llm.url_filter import op5_urls
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_urls": op5_urls,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
