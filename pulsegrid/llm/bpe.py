@@ -23,7 +23,7 @@ from pulsegrid.llm.common import map_arrow, table
 #: White space as the pre-tokenizer has it (Python's own class holds four control characters more). A fixed value.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -78,33 +78,6 @@ def piece_pattern() -> str:
     return f"{contraction}| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-class PairTree:
-    """Segment tree of (rank, place) over the pairs of adjacent symbols."""
-
-    def __init__(self, keys: list[int], none: int) -> None:
-        self.none = none
-        self.width = 1 << max(0, len(keys) - 1).bit_length()
-        self.node = [none] * self.width + keys + [none] * (self.width - len(keys))
-        for k in range(self.width - 1, 0, -1):
-            left, right = self.node[2 * k], self.node[2 * k + 1]
-            self.node[k] = left if left <= right else right
-
-    def root(self) -> int:
-        return self.node[1]
-
-    def put(self, place: int, key: int) -> None:
-        node, k = self.node, place + self.width
-        node[k] = key
-        k >>= 1
-        while k:
-            left, right = node[2 * k], node[2 * k + 1]
-            best = left if left <= right else right
-            if node[k] == best:
-                break
-            node[k] = best
-            k >>= 1
-
-
 class Tokenizer:
     """Encodes as a ``tokenizers`` BPE file says. Built from the file's JSON text; picklable."""
 
@@ -119,8 +92,9 @@ class Tokenizer:
         self.first = [0] * 256
         for c, b in alphabet.items():
             self.first[b] = vocabulary[c]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = {vocabulary[a] << 32 | vocabulary[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [vocabulary[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
@@ -133,37 +107,55 @@ class Tokenizer:
         return self.__dict__ | {"memo": {}, "words": {}}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ids: list[int] = [self.first[b] for b in piece]
-        n, merges = len(ids), self.merges
+        """The ids of one pre-token.
+
+        ``node`` is the segment tree: leaf ``width + i`` holds rank and place, in one integer, of the pair of symbol i
+        and the next live one; an inner node the less of its children; node 1 is the root.
+        """
+        ids = [self.first[b] for b in piece]
+        n, rank_of = len(ids), self.ranks.get
         if n < 2:
             return ids
         shift = n.bit_length()
-        none = len(merges) << shift
-        keys = [(m[0] << shift) | i if (m := merges.get((ids[i], ids[i + 1]))) else none for i in range(n - 1)]
-        tree = PairTree(keys, none)
+        mask, none = (1 << shift) - 1, len(self.merged) << shift
+        width = 1 << (n - 2).bit_length()
+        node = [none] * (2 * width)
+        for i in range(n - 1):
+            rank = rank_of(ids[i] << 32 | ids[i + 1])
+            if rank is not None:
+                node[width + i] = rank << shift | i
+        for k in range(width - 1, 0, -1):
+            left, right = node[k + k], node[k + k + 1]
+            node[k] = left if left < right else right
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        mask = (1 << shift) - 1
-
-        def rank(i: int) -> int:
-            j = after[i]
-            m = merges.get((ids[i], ids[j])) if j < n else None
-            return (m[0] << shift) | i if m else none
-
-        while (best := tree.root()) < none:
+        while (best := node[1]) < none:
             i = best & mask
-            j = after[i]
-            ids[i] = merges[ids[i], ids[j]][1]
+            j, p = after[i], before[i]
+            ids[i] = self.merged[best >> shift]
             ids[j] = -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            if j < n - 1:
-                tree.put(j, none)
-            if i < n - 1:
-                tree.put(i, rank(i))
-            if before[i] >= 0:
-                tree.put(before[i], rank(before[i]))
+            end = after[i] = after[j]
+            changed = [(j, none)] if j < n - 1 else []
+            if end < n:
+                before[end] = i
+                rank = rank_of(ids[i] << 32 | ids[end])
+                changed.append((i, none if rank is None else rank << shift | i))
+            else:
+                changed.append((i, none))
+            if p >= 0:
+                rank = rank_of(ids[p] << 32 | ids[i])
+                changed.append((p, none if rank is None else rank << shift | p))
+            for place, key in changed:
+                k = width + place
+                node[k] = key
+                k >>= 1
+                while k:
+                    left, right = node[k + k], node[k + k + 1]
+                    if right < left:
+                        left = right
+                    if node[k] == left:
+                        break
+                    node[k] = left
+                    k >>= 1
         return [i for i in ids if i >= 0]
 
     def piece(self, text: str) -> list[int]:
