@@ -10,6 +10,7 @@ from pulsegrid.llm.bpe import op3_bpe
 from pulsegrid.llm.decontamination import op6_decontamination
 from pulsegrid.llm.language import op10_language
 from pulsegrid.llm.quality import op9_quality
+from pulsegrid.llm.secret_scan import op2_secrets
 from pulsegrid.llm.simhash import op8_simhash
 from pulsegrid.llm.suffix_tree_lm import op7_suffix_tree
 from pulsegrid.llm.toxicity import op1_toxicity
@@ -17,6 +18,7 @@ from pulsegrid.llm.url_filter import op5_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op5_urls": op5_urls,
     "op6_decontamination": op6_decontamination,
