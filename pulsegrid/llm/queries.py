@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsegrid.llm.bpe import op3_bpe
 from pulsegrid.llm.decontamination import op6_decontamination
 from pulsegrid.llm.language import op10_language
+from pulsegrid.llm.pii import op4_pii
 from pulsegrid.llm.quality import op9_quality
 from pulsegrid.llm.secret_scan import op2_secrets
 from pulsegrid.llm.simhash import op8_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_urls": op5_urls,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_tree": op7_suffix_tree,

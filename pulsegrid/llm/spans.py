@@ -57,6 +57,22 @@ def located(documents: DataFrame, kinds: list[Kind], notes: list[str] = []) -> D
     return placed.where("kind is null or keep").select("row", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", *notes)
 
 
+def apart(spans: DataFrame, sure: Column) -> DataFrame:
+    """``spans`` (of ``located``) without those that overlap a span for which ``sure`` holds, unless they are such themselves.
+
+    A sweep in order of the starts: only the furthest end before and the nearest start after matter.
+    """
+    order = Window.partitionBy("row").orderBy("start", "end", "kind")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    names = spans.columns
+    near = spans.withColumns({
+        "sure": F.coalesce(sure, F.lit(False)),
+        "last_end": F.max(F.when(sure, F.col("end"))).over(before), "next_start": F.min(F.when(sure, F.col("start"))).over(after),
+    })
+    overlaps = F.coalesce(F.col("last_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next_start") < F.col("end"), F.lit(False))
+    return near.where(F.col("kind").isNull() | F.col("sure") | ~overlaps).select(*names)
+
+
 def joined(spans: Column, names: list[str]) -> Column:
     """kind:start:end, comma-joined, of an array of struct(start, kind, end) in the array's order."""
     label = F.array(*map(F.lit, names))
