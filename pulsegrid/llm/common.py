@@ -19,16 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder that all executors share and reads it from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where neither that setting nor a checkpoint
-    directory exists (tests on one machine) a temporary folder is set.
+    Only where neither that setting nor a checkpoint directory exists (tests on one machine) a temporary folder is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it from there, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
