@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and the SQL that DuckDB can run for them."""
+"""The registered queries of this subpackage; ``ORACLE_SQL`` has the SQL that DuckDB can run for some of them."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pulsegrid.llm.pii import op4_pii
 from pulsegrid.llm.quality import op9_quality
 from pulsegrid.llm.secret_scan import op2_secrets
 from pulsegrid.llm.simhash import op8_simhash
+from pulsegrid.llm.sql import ORACLE_SQL
 from pulsegrid.llm.suffix_tree_lm import op7_suffix_tree
 from pulsegrid.llm.toxicity import op1_toxicity
 from pulsegrid.llm.url_filter import op5_urls
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
