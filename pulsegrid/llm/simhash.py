@@ -95,12 +95,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> D
     same_cell_once = (point_a != point_b) | (F.col("cell") == point_a)
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & same_cell_once
     pairs = a.join(b, "cell").where(close).select("a", "b").distinct()
-    values = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)]
-    between = many.select("fp").distinct().select("fp", F.explode(F.array(*(values if distance == 2 else values[:1]))).alias("value"))
-    if distance == 1:  # a link's upper end has one bit more; the value without that bit is the lower end itself
-        between = many.select("fp").distinct().select("fp", F.explode(F.array(*values)).alias("value")).where((F.col("fp") == F.col("value")) | (F.bit_count("value") < F.bit_count("fp")))
-    group = between.groupBy("value").agg(F.collect_set("fp").alias("all"))  # 65 at most
-    star = group.where(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b").distinct()
+    one_off = [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)]
+    single = many.select("fp").distinct()
+    if distance == 2:  # all that share a value are within 2 bits of each other
+        shares = single.select("fp", F.explode(F.array(F.col("fp"), *one_off)).alias("value"))
+        group = shares.groupBy("value").agg(F.collect_set("fp").alias("all"))  # 65 at most
+        star = group.where(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
+    elif distance == 1:  # the value itself has to be there
+        shares = single.select(F.col("fp").alias("other"), F.explode(F.array(*one_off)).alias("fp"))
+        star = shares.join(single, "fp").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    else:
+        star = pairs.limit(0)
     return pairs.unionByName(star).distinct()
 
 

@@ -1,0 +1,99 @@
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import simhash
+from pulsegrid.llm.common import table
+
+
+def brute_fingerprint(text, width=3):
+    w = (text or "").encode().lower().split()
+    runs = [b" ".join(w[k : k + width]) for k in range(len(w) - width + 1)] or ([b" ".join(w)] if w else [])
+    counts = [sum(xxhash.xxh64_intdigest(r, 42) >> b & 1 for r in runs) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(runs))
+
+
+def brute_components(values, distance):
+    values = sorted(set(values))
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for k, a in enumerate(values):
+        for b in values[k + 1 :]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {v: top(v) for v in values}
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def cloud(seed, n, flips):
+    draw = random.Random(seed)
+    base = [draw.getrandbits(64) for _ in range(3)]
+    out = {0, (1 << 64) - 1, 1, 3, 1 << 63}
+    while len(out) < n:
+        v = draw.choice(base)
+        for b in draw.sample(range(64), draw.randint(0, flips)):
+            v ^= 1 << b
+        out.add(v)
+    return [signed(v) for v in out]
+
+
+def test_fingerprints(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    for r in simhash.op8_simhash(spark, sf).collect():
+        assert int(r.fingerprint, 16) == brute_fingerprint(texts[r.doc_id]) and len(r.fingerprint) == 16
+
+
+def test_bit_counts(spark):
+    values = cloud(1, 50, 6)
+    df = spark.createDataFrame([(v,) for v in values], "fp long").select("fp", simhash.bit_counts(F.col("fp")).alias("p"))
+    for r in df.collect():
+        assert [(r.p >> 4 * k) & 15 for k in range(16)] == [((r.fp >> 4 * k) & 15).bit_count() for k in range(16)]
+
+
+@pytest.mark.parametrize(("distance", "crowded"), [(2, 64), (2, 2), (2, 10**6), (1, 2), (0, 2), (1, 64)])
+def test_components_of_dense_clouds(spark, distance, crowded):
+    values = cloud(distance + crowded, 400, 5)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    hung = {r.node: r.root for r in simhash.stars(simhash.links(df, distance, crowded)).collect()}
+    want = brute_components(values, distance)
+    got = {v: hung.get(v, v) for v in values}
+    assert len({(got[v], want[v]) for v in values}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_all_close_pairs_are_links_where_no_cell_is_crowded(spark):
+    values = cloud(9, 300, 4)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {(r.a, r.b) for r in simhash.links(df, 2, 10**6).collect()}
+    assert got == {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+
+
+def test_stars_of_long_paths(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(1000 + 7 * k % 50, 1000 + 7 * (k + 1) % 50) for k in range(50)]
+    hung = {r.node: r.root for r in simhash.stars(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert hung == {k: 0 for k in range(1, 201)} | {k: 1000 for k in range(1001, 1050)}
+
+
+def test_query_components(spark, sf):
+    rows = simhash.op8_simhash(spark, sf).collect()
+    fp = {r.doc_id: signed(int(r.fingerprint, 16)) for r in rows}
+    root = brute_components(fp.values(), 2)
+    least = {}
+    for ident in sorted(fp):
+        least.setdefault(root[fp[ident]], ident)
+    assert all(r.component_id == least[root[fp[r.doc_id]]] for r in rows)
+
+
+def test_distance_beyond_the_grid_is_refused(spark):
+    with pytest.raises(ValueError, match="0 to 2"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
