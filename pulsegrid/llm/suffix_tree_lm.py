@@ -306,15 +306,22 @@ def score(documents: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 schema=target,
             )
 
-    by_text = cut_lineage(binary_text(documents, F.monotonically_increasing_id().alias("row"), "doc_id").mapInArrow(run, schema))
-    rare = by_text.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    settled = rare.join(counts, "word", "left")
+    # Each text's own entry travels with its rare words under a key that no word can be (it starts with a blank), so one
+    # join and one sum do it all. A hot rare word's texts are split like any skewed key; the texts' own keys are all different.
+    by_text = binary_text(documents, F.monotonically_increasing_id().alias("row"), "doc_id").mapInArrow(run, schema)
+    none = F.lit(None)
+    own_entry = F.struct(F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(0).alias("times"), F.struct("doc_id", "n_tokens", "n_known", "base", "model").alias("text"))
+    entry_type = "struct<doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,model:double>"
+    words = F.transform(F.arrays_zip("rare", "times"), lambda x: F.struct(x["rare"].alias("word"), x["times"].alias("times"), none.cast(entry_type).alias("text")))
+    entries = by_text.select("row", F.explode(F.concat(F.array(own_entry), words)).alias("x")).select("row", "x.*")
+    settled = entries.join(counts, "word", "left")
     unit = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    sums = settled.groupBy("row").agg(F.sum(F.col("times") * unit).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return by_text.drop("rare", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + seen).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
+    sums = settled.groupBy("row").agg(
+        F.sum(F.col("times") * unit).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"),
+        *(F.max(f"text.{name}").alias(name) for name in ("doc_id", "n_tokens", "n_known", "base", "model")),
     )
+    more = F.col("more")
+    return sums.select("doc_id", "n_tokens", (F.col("n_known") + F.col("seen")).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
