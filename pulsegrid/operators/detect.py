@@ -62,12 +62,18 @@ def with_state(frames: DataFrame, config: DetectorConfig) -> DataFrame:
 def zscore_raw(frames: DataFrame, config: DetectorConfig | None = None) -> DataFrame:
     """``frames`` with score and raw (the verdict before the debounce). Calibration frames, the last included, score 0 and are no anomaly."""
     config = config or DetectorConfig()
-    known = baseline(frames, config).where(F.col("frames") >= config.calibration_frames).withColumnRenamed("sensor_id", "__sensor")
-    joined = frames.join(known, F.col("sensor_id") == F.col("__sensor"), "left")
-    z_rms = (F.col("rms") - F.col("rms_mean")) / F.col("rms_std")
-    z_freq = (F.col("dominant_freq_hz") - F.col("freq_mean")) / F.col("freq_std")
-    scored = (F.col("frame_no") >= config.calibration_frames) & F.col("__sensor").isNotNull()
-    return joined.select(
+    # The calibration's moments run along in frame order: past its end they stand still. So one ordered pass over a sensor
+    # does it, and the frames are neither made twice nor held back.
+    so_far = Window.partitionBy("sensor_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("frame_no") < config.calibration_frames
+    moments = {"__n": F.count_if(first).over(so_far)}
+    for name, floor in (("rms", config.min_rms_std), ("dominant_freq_hz", config.min_freq_std_hz)):
+        value = F.when(first, F.col(name))
+        moments |= {f"__{name}_mean": F.avg(value).over(so_far), f"__{name}_std": F.greatest(F.stddev_pop(value).over(so_far), F.lit(floor))}
+    known = frames.withColumns(moments)
+    z_rms, z_freq = ((F.col(name) - F.col(f"__{name}_mean")) / F.col(f"__{name}_std") for name in ("rms", "dominant_freq_hz"))
+    scored = ~first & (F.col("__n") >= config.calibration_frames)
+    return known.select(
         *frames.columns, F.when(scored, F.greatest(F.abs(z_rms), F.abs(z_freq))).otherwise(0.0).alias("score"),
         (scored & (exceeds(z_rms, config.k) | exceeds(z_freq, config.k))).alias("raw"),
     )

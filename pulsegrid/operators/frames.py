@@ -36,7 +36,7 @@ def pane_windows(samples: DataFrame, n: int, hop: int, with_values: bool) -> Dat
     """sensor_id, frame_no, t, raw_value, rms, mean, std and, if asked for, the window's values in order."""
     pane = math.gcd(n, hop)
     number = F.floor(F.col("i") / pane).cast("long")
-    values = [F.array_sort(F.collect_list(F.struct("i", "value"))).alias("values")] if with_values else []
+    values = [F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("values")] if with_values else []
     panes = samples.groupBy("sensor_id", number.alias("pane")).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
         F.max_by(F.struct("i", "t", "value"), "i").alias("last"), *values,
@@ -55,7 +55,7 @@ def pane_windows(samples: DataFrame, n: int, hop: int, with_values: bool) -> Dat
     return variance.select(
         "sensor_id", F.floor((i - (n - 1)) / hop).cast("long").alias("frame_no"), F.col("last.t").alias("t"), F.col("last.value").alias("raw_value"),
         F.sqrt(F.col("variance") + F.col("mean") * F.col("mean")).alias("rms"), "mean", F.sqrt("variance").alias("std"),
-        *([F.transform("values", lambda v: v["value"]).alias("window")] if with_values else []),
+        *([F.col("values").alias("window")] if with_values else []),
     )
 
 

@@ -33,7 +33,7 @@ def relative_time(events: DataFrame, key: str = "event_type") -> DataFrame:
     """sensor_id, event_id, t: seconds since the sensor's first event."""
     first = events.groupBy(key).agg(F.min("ts").alias("first")).withColumnRenamed(key, "__key")
     joined = events.join(first, F.col(key) == F.col("__key"))
-    return joined.select(F.col(key).cast("string").alias("sensor_id"), "event_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 1e6).alias("t"), "value")
+    return joined.select(F.col(key).cast("string").alias("sensor_id"), "event_id", (F.timestamp_diff("MICROSECOND", F.col("first"), F.col("ts")) / 1e6).alias("t"), "value")
 
 
 def sample_rate(timed: DataFrame) -> DataFrame:

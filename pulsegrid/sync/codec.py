@@ -67,11 +67,13 @@ def object_key(prefix: str, header: BatchHeader) -> str:
 
 
 def key_column(prefix: str, sensor: Column, session: Column, seq: Column, created: Column) -> Column:
-    """``object_key`` as a column; ``created`` in epoch seconds, the session's time zone UTC."""
-    at = F.timestamp_micros(F.round(created * 1_000_000).cast("long"))
+    """``object_key`` as a column; ``created`` in epoch seconds. Day and hour are counted, so no time zone matters."""
+    second = F.floor(created).cast("long")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86_400).cast("int")), "yyyy-MM-dd")
+    hour = F.lpad(F.floor(F.pmod(second, F.lit(86_400)) / 3_600).cast("string"), 2, "0")
     number = F.when(seq < 10**8, F.lpad(seq.cast("string"), 8, "0")).otherwise(seq.cast("string"))
     return F.concat(
-        F.lit(prefix.rstrip("/") + "/sensor_id="), sensor, F.lit("/date="), F.date_format(at, "yyyy-MM-dd"), F.lit("/hour="), F.date_format(at, "HH"),
+        F.lit(prefix.rstrip("/") + "/sensor_id="), sensor, F.lit("/date="), day, F.lit("/hour="), hour,
         F.lit("/part-"), session, F.lit("-"), number, F.lit(".ndjson.gz"),
     )
 
