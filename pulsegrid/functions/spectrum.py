@@ -76,3 +76,35 @@ def peak_sql(spectrum: DataFrame, key: str, n: int, sample_rate_hz: float, inter
     offset = F.when((k > 0) & (k < n // 2) & (bend != 0), 0.5 * (left - right) / F.when(bend != 0, bend))
     place = k + F.when(F.abs(offset) <= 0.5, offset).otherwise(0.0) if interpolate else k
     return top.select(key, "peak_bin", F.greatest(F.lit(0.0), place * (sample_rate_hz / n)).alias("dominant_freq_hz"))
+
+
+def welch(window: Column, sample_rate_hz: float, segment: int = 256) -> Column:
+    """Power density by averaging half-overlapping tapered segments: an array of struct(frequency_hz, density), one-sided.
+
+    A window shorter than a segment is one segment; an empty or null one gives null.
+    """
+
+    @pandas_udf("array<struct<frequency_hz:double,density:double>>")
+    def run(windows: pd.Series) -> pd.Series:
+        return windows.map(lambda w: None if w is None or not len(w) else density(np.asarray(w, float), sample_rate_hz, segment))
+
+    return run(window)
+
+
+def density(values: np.ndarray, sample_rate_hz: float, segment: int) -> list[dict]:
+    n = min(segment, len(values))
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    parts = np.lib.stride_tricks.sliding_window_view(values, n)[:: max(1, n // 2)]
+    parts = (parts - parts.mean(axis=1, keepdims=True)) * taper
+    power = (np.abs(np.fft.rfft(parts, axis=1)) ** 2).mean(axis=0) / (sample_rate_hz * max((taper * taper).sum(), TINY))
+    power[1 : len(power) - (n % 2 == 0)] *= 2
+    return [{"frequency_hz": f, "density": p} for f, p in zip((np.arange(len(power)) * sample_rate_hz / n).tolist(), power.tolist(), strict=True)]
+
+
+def spectrogram(samples: DataFrame, n: int, hop: int, sample_rate_hz: float) -> DataFrame:
+    """sensor_id, frame_no, t, density: the power density of each hopping window."""
+    from pulsegrid.config import ProcessorConfig
+    from pulsegrid.operators.frames import window_stats
+
+    windows = window_stats(samples, ProcessorConfig(sample_rate_hz=sample_rate_hz, window_s=n / sample_rate_hz, hop_s=hop / sample_rate_hz), with_values=True)
+    return windows.select("sensor_id", "frame_no", "t", welch(F.col("window"), sample_rate_hz, n).alias("density"))

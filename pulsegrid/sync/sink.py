@@ -6,6 +6,7 @@ Spark runs again writes the same objects. ``DurableSink`` is for one producer in
 
 from __future__ import annotations
 
+import gzip
 import queue
 import random
 import threading
@@ -55,7 +56,7 @@ def deliver(frames: DataFrame, uploader: Uploader, session_id: str, created_at_u
         sensor, seq = str(pdf["sensor_id"].iloc[0]), int(pdf["batch_seq"].iloc[0])
         header = BatchHeader(sensor, session_id, seq, len(rows), float(rows[0]["t"]), float(rows[-1]["t"]), created_at_utc)
         blob, key = serialize(rows, header), object_key(prefix, header)
-        raw = sum(len(repr(r)) for r in rows)
+        raw = len(gzip.decompress(blob))
         n, there = attempt(uploader, key, blob, config, random.Random(f"{sensor}/{session_id}/{seq}"))
         return pd.DataFrame([(sensor, seq, key, len(rows), raw, len(blob), n, there)], columns=[c.split()[0] for c in schema.split(", ")])
 

@@ -6,7 +6,8 @@ import contextlib
 import os
 import random
 import threading
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,21 @@ class FlakyUploader:
         self.inner.upload(key, data)
 
 
+class OutageUploader:
+    """Fails during an outage that starts so many seconds after the first use, and at a rate at any time; for demonstrations."""
+
+    def __init__(self, inner: Uploader, start_s: float, duration_s: float, fail_prob: float = 0.0, rng: random.Random | None = None, clock: Callable[[], float] = time.monotonic) -> None:
+        self.inner, self.outage, self.share = inner, (start_s, start_s + duration_s), fail_prob
+        self.rng, self.clock, self.began = rng or random.Random(), clock, None
+
+    def upload(self, key: str, data: bytes) -> None:
+        now = self.clock()
+        self.began = now if self.began is None else self.began
+        if self.outage[0] <= now - self.began < self.outage[1] or self.rng.random() < self.share:
+            raise TransientUploadError("made to fail")
+        self.inner.upload(key, data)
+
+
 class Spool:
     """A first-in first-out queue of blobs in a folder, which survives a crash: a blob is one file that was synced under
     another name first. Caps drop the oldest; the newest always stays."""

@@ -86,3 +86,13 @@ def test_lengths_round_half_to_even():
     assert ProcessorConfig(sample_rate_hz=1.0, window_s=6.5, hop_s=2.5).window_samples == 6
     assert ProcessorConfig(sample_rate_hz=1.0, window_s=6.5, hop_s=2.5).hop_samples == 2
     assert ProcessorConfig(sample_rate_hz=1.0, window_s=8, hop_s=0.1).hop_samples == 1
+
+
+def test_power_density_holds_the_variance(spark):
+    draw = np.random.default_rng(6)
+    values = draw.normal(scale=2.0, size=4096)
+    rows = spectrum.density(values, 100.0, 256)
+    assert sum(r["density"] for r in rows) * 100.0 / 256 == pytest.approx(4.0, rel=0.1)
+    made = spectrum.spectrogram(numbered(spark, tone(50), rate=1000.0), 500, 500, 1000.0)
+    for r in made.collect():
+        assert max(r.density, key=lambda d: d.density).frequency_hz == 50.0
