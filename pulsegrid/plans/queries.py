@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.config import BackoffConfig, DetectorConfig, FaultConfig, ProcessorConfig, SensorConfig
-from pulsegrid.functions.spectrum import dominant_frequency, peak_sql, spectrum_sql
+from pulsegrid.functions.spectrum import dominant_frequency, peak_sql, spectrum_sql, welch
 from pulsegrid.operators import detect, evaluate, frames, retention
 from pulsegrid.plans import sql
 from pulsegrid.sources import csv_replay, drift, events, oscillator
@@ -73,6 +73,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("window"))
 
 
+def power_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vectors(spark, sf_dir).select("vec_id", F.posexplode(welch(F.col("window"), sql.RATE, sql.N)).alias("bin", "x"))
+    return made.select("vec_id", F.col("bin").cast("long").alias("bin"), F.col("x.frequency_hz").alias("frequency_hz"), F.round("x.density", 8).alias("density"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.manifest(stats(spark, sf_dir), sql.BATCH, sql.SESSION, F.lit(float(sql.CREATED)), sql.PREFIX)
 
@@ -146,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_frames": lambda s, d: rounded(features(s, d)),
     "dft_peak": lambda s, d: rounded(peak_sql(spectrum_sql(vectors(s, d), "vec_id", "window", sql.N), "vec_id", sql.N, sql.RATE, interpolate=False)),
     "dft_peak_interp": lambda s, d: rounded(vectors(s, d).select("vec_id", dominant_frequency(F.col("window"), sql.RATE).alias("dominant_freq_hz"))),
+    "power_density": power_density,
     "baseline_stats": lambda s, d: rounded(detect.baseline(features(s, d), CONFIG.detector)),
     "zscore_raw": lambda s, d: rounded(detect.zscore_raw(features(s, d), CONFIG.detector).select("sensor_id", "frame_no", "score", "raw")),
     "zscore_debounced": detected("zscore"),

@@ -165,6 +165,13 @@ SELECT vec_id, k AS peak_bin, round(k * {RATE} / {N}, 6) AS dominant_freq_hz FRO
     "dft_peak_interp": f"""WITH points AS (SELECT vec_id, unnest(range(0, {N})) AS j, unnest(embedding)::DOUBLE - list_avg(embedding::DOUBLE[]) AS x FROM embeddings),
 {transform("points", "vec_id")}
 SELECT vec_id, round(greatest(0.0, (k + off) * {RATE} / {N}), 6) AS dominant_freq_hz FROM place""",
+    "power_density": f"""WITH points AS (SELECT vec_id, unnest(range(0, {N})) AS j, unnest(embedding)::DOUBLE - list_avg(embedding::DOUBLE[]) AS x FROM embeddings),
+tapered AS (SELECT vec_id, j, x * (0.5 - 0.5 * cos(2 * pi() * j / {N})) AS x FROM points),
+bins AS (SELECT unnest(range(0, {N // 2 + 1})) AS bin),
+power AS (
+  SELECT vec_id, bin, pow(sum(x * cos(2 * pi() * ((bin * j) % {N}) / {N})), 2) + pow(sum(x * sin(2 * pi() * ((bin * j) % {N}) / {N})), 2) AS p
+  FROM tapered, bins GROUP BY ALL)
+SELECT vec_id, bin, bin * {RATE} / {N} AS frequency_hz, round(CASE WHEN bin BETWEEN 1 AND {N // 2 - 1} THEN 2 ELSE 1 END * p / ({RATE} * 0.375 * {N}), 8) AS density FROM power""",
     "baseline_stats": f"WITH {TO_FRAMES}, {BASELINE} SELECT sensor_id, frames, round(rms_mean, 6) AS rms_mean, round(rms_std, 6) AS rms_std, round(freq_mean, 6) AS freq_mean, round(freq_std, 6) AS freq_std FROM base",
     "zscore_raw": f"WITH {TO_FRAMES}, {BASELINE}, {ZSCORE} SELECT sensor_id, frame_no, round(score, 6) AS score, raw FROM zscore",
     "zscore_debounced": detection("zscore", ZSCORE),
