@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,53 +92,60 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def fit(rows: list[tuple[list[str], int, list[tuple[str, str]]]], settings: Settings) -> Model:
+def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settings: Settings) -> Model:
     """``rows``: a text's different words, its label and its swaps. Accelerated proximal gradient, every row each step.
 
-    Without rows the model is empty and scores 0 everywhere; with one label only, its score is that label's share.
+    Texts hold words and words hold features, as two sparse tables, so a word's features are gone through once whatever
+    the number of its texts. Without rows the model is empty and scores 0 everywhere; with one label only, its score is
+    that label's share.
     """
-    if not rows:
+    number: dict[str, int] = {}
+    texts, labels, pairs = [], [], []
+    for words, label_, swapped in rows:
+        texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64))
+        labels.append(label_)
+        pairs += swapped
+    if not texts:
         return Model(bias=-30.0)
+    n, label = len(texts), np.array(labels, float)
+    text, word = np.repeat(np.arange(n), [len(t) for t in texts]), np.concatenate(texts)
+    del texts
+    times = np.bincount(word, minlength=len(number)).tolist()
     seen: Counter[str] = Counter()
-    for words, _, _ in rows:
-        seen.update({f for w in words for f in features_of(w)})
-    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= settings.min_documents))}
-    row, column = [], []
-    for r, (words, _, _) in enumerate(rows):
-        found = [index[f] for w in words for f in features_of(w) if f in index]
-        column.append(np.array(found, np.int32))
-        row.append(np.full(len(found), r, np.int32))
-    row, column = np.concatenate(row), np.concatenate(column)
-    pairs = [p for _, _, s in rows for p in s]
-    d_row, d_column, d_value = [], [], []
-    for k, (term, other) in enumerate(pairs):
-        for word, sign in ((term, 1.0), (other, -1.0)):
-            for f in features_of(word):
-                if f in index:
-                    d_row.append(k)
-                    d_column.append(index[f])
-                    d_value.append(sign)
-    d_row, d_column, d_value = np.array(d_row, np.int64), np.array(d_column, np.int64), np.array(d_value)
-    label = np.array([y for _, y, _ in rows], float)
-    n, m = len(rows), len(index)
+    for w, k in number.items():
+        for f in features_of(w):
+            seen[f] += times[k]
+    index = {f: k for k, f in enumerate(sorted(f for f, c in seen.items() if c >= settings.min_documents))}
+    m, w_ = len(index), len(number)
+    links = [(k, index[f]) for w, k in number.items() for f in features_of(w) if f in index]
+    holder, feature = (np.array(c, np.int64) for c in (zip(*links, strict=True) if links else ((), ())))
+    del links, seen, times
+    changes = [(k, index[f], sign) for k, swap in enumerate(pairs) for w, sign in zip(swap, (1.0, -1.0), strict=True) for f in features_of(w) if f in index]
+    d_row, d_column, d_value = (np.array(c, t) for c, t in zip(zip(*changes, strict=True) if changes else ((), (), ()), (np.int64, np.int64, float), strict=True))
     share = min(max(label.mean(), 1e-6), 1 - 1e-6)
 
+    def margins(w: np.ndarray) -> np.ndarray:
+        return np.bincount(text, np.bincount(holder, w[feature], w_)[word], n)
+
+    def back(of_text: np.ndarray) -> np.ndarray:
+        return np.bincount(feature, np.bincount(word, of_text[text], w_)[holder], m)
+
     def change(w: np.ndarray) -> np.ndarray:
         delta = np.bincount(d_row, d_value * w[d_column], len(pairs))
         return np.bincount(d_column, d_value * delta[d_row], m) * (2 * settings.counterfactual / len(pairs))
 
     # A step of its own for each feature, from the diagonal of the curvature: rare features move as fast as frequent ones.
-    per_row = np.bincount(row, minlength=n).astype(float)
-    curvature = np.bincount(column, np.minimum(per_row, 60.0)[row], m) / (4 * n) + settings.square
+    per_text = np.bincount(text, np.bincount(holder, minlength=w_)[word], n)
+    curvature = back(np.minimum(per_text, 60.0)) / (4 * n) + settings.square
     if pairs:
         curvature += np.bincount(d_column, minlength=m) * (2 * settings.counterfactual * 14 / len(pairs))
     step = 1 / np.maximum(curvature, 1e-9)
     w, bias = np.zeros(m), math.log(share / (1 - share))
     point, point_bias, t = w.copy(), bias, 1.0
     for _ in range(settings.steps):
-        margin = point_bias + np.bincount(row, point[column], n)
+        margin = point_bias + margins(point)
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label
-        gradient = np.bincount(column, error[row], m) / n + settings.square * point
+        gradient = back(error) / n + settings.square * point
         if pairs:
             gradient += change(point)
         moved = point - step * gradient
@@ -171,7 +179,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
 
     schema = "doc_id long, words string, toxic int, swapped array<string>, by array<string>"
     found = sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.words, r.toxic))
-    return fit([(r.words.split(), int(r.toxic > 0), list(zip(r.swapped, r.by, strict=True))) for r in found], settings)
+    return fit(((r.words.split(), int(r.toxic > 0), list(zip(r.swapped, r.by, strict=True))) for r in found), settings)
 
 
 def sampled_labels(labels: DataFrame, size: int) -> DataFrame:
