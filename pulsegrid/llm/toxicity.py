@@ -47,6 +47,7 @@ class Settings:
     square: float = 1e-5
     counterfactual: float = 1.0
     steps: int = 150
+    miss_cost: float = 4.0  # a missed toxic text counts as so many false alarms
     identity: tuple[tuple[str, ...], ...] = IDENTITY
 
 
@@ -122,7 +123,9 @@ def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settin
     del links, seen, times
     changes = [(k, index[f], sign) for k, swap in enumerate(pairs) for w, sign in zip(swap, (1.0, -1.0), strict=True) for f in features_of(w) if f in index]
     d_row, d_column, d_value = (np.array(c, t) for c, t in zip(zip(*changes, strict=True) if changes else ((), (), ()), (np.int64, np.int64, float), strict=True))
-    share = min(max(label.mean(), 1e-6), 1 - 1e-6)
+    weight = np.where(label > 0, settings.miss_cost, 1.0)
+    weight /= weight.sum()
+    share = min(max((weight * label).sum(), 1e-6), 1 - 1e-6)
 
     def margins(w: np.ndarray) -> np.ndarray:
         return np.bincount(text, np.bincount(holder, w[feature], w_)[word], n)
@@ -136,7 +139,7 @@ def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settin
 
     # A step of its own for each feature, from the diagonal of the curvature: rare features move as fast as frequent ones.
     per_text = np.bincount(text, np.bincount(holder, minlength=w_)[word], n)
-    curvature = back(np.minimum(per_text, 60.0)) / (4 * n) + settings.square
+    curvature = back(np.minimum(per_text, 60.0) * weight) / 4 + settings.square
     if pairs:
         curvature += np.bincount(d_column, minlength=m) * (2 * settings.counterfactual * 14 / len(pairs))
     step = 1 / np.maximum(curvature, 1e-9)
@@ -144,13 +147,13 @@ def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settin
     point, point_bias, t = w.copy(), bias, 1.0
     for _ in range(settings.steps):
         margin = point_bias + margins(point)
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label
-        gradient = back(error) / n + settings.square * point
+        error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label)
+        gradient = back(error) + settings.square * point
         if pairs:
             gradient += change(point)
         moved = point - step * gradient
         moved = np.sign(moved) * np.maximum(np.abs(moved) - step * settings.absolute, 0)
-        moved_bias = point_bias - 2.0 * error.mean()
+        moved_bias = point_bias - 2.0 * error.sum()
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
         if np.dot(point - moved, moved - w) > 0:  # the momentum points uphill: start it anew
             t_next = 1.0
