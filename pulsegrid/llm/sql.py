@@ -1,12 +1,13 @@
 """SQL for the queries of this subpackage that SQL can express, for DuckDB on the same tables.
 
 The others rest on things that SQL has not: trained classifiers and models, a tokenizer's merges, XXH64 with a seed,
-zstandard, or patterns that look around a match. Tests hold those against brute force.
+or zstandard. Tests hold those against brute force.
 """
 
 from __future__ import annotations
 
 from pulsegrid.llm.decontamination import WINDOW
+from pulsegrid.llm.secret_scan import ASSIGN, ENDPOINT, IDENTIFIER, NAMES, REACH
 from pulsegrid.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,4 +52,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (n) LEFT JOIN listed USING (n)"""
 
-ORACLE_SQL = {"op5_urls": URLS, "op6_decontamination": DECONTAMINATION}
+_RUN = "[A-Za-z0-9+/_=-]+"  # DuckDB's patterns can't look around: a token is a whole run of its characters
+_SECRET_KINDS = [
+    (ASSIGN, "length(regexp_extract(m, pattern, 1)) >= 6"), ("AKIA[A-Z0-9]+", "length(m) >= 20"), ("[0-9a-f]{24,}", "true"), (IDENTIFIER, "true"),
+    (_RUN, "regexp_full_match(m, '[A-Za-z0-9+/_-]{20,64}={0,2}') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
+    (ENDPOINT.replace(r"\s", r"\x09-\x0D\x20"), "true"),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _found(kind: int, pattern: str, keep: str) -> str:
+    cut = f"SELECT n, regexp_extract_all(t, {_quoted(pattern)}) AS ms, string_split_regex(t, {_quoted(pattern)}) AS gaps FROM docs"
+    rows = f"SELECT n, unnest(range(len(ms))) AS nth, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap FROM ({cut})"
+    ends = f"SELECT n, m, sum(length(gap) + length(m)) OVER (PARTITION BY n ORDER BY nth)::BIGINT AS e FROM ({rows})"
+    return f"SELECT n, {kind} AS kind, e - length(m) AS s, e FROM (SELECT *, {_quoted(pattern)} AS pattern FROM ({ends})) WHERE {keep}"
+
+
+def _near(kinds: str, far: int) -> str:
+    return f"EXISTS (SELECT 1 FROM {{}} q WHERE q.n = p.n AND q.kind IN ({kinds}) AND (q.kind, q.s, q.e) <> (p.kind, p.s, p.e) AND q.s < p.e + {far} AND q.e > p.s - {far})"
+
+
+_LABEL = "['" + "','".join(NAMES) + "'][kind + 1] || ':' || s || ':' || e"
+SECRETS = f"""WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS MATERIALIZED ({" UNION ALL ".join(_found(k, *kind) for k, kind in enumerate(_SECRET_KINDS))}),
+candidates AS MATERIALIZED (
+  SELECT * FROM parts p WHERE NOT (kind IN (3, 4) AND {_near("0, 1, 2, 5", 0).format("parts")}) AND NOT (kind = 4 AND {_near("3", 0).format("parts")})),
+reported AS (
+  SELECT * FROM candidates p WHERE kind <= 2 OR (kind = 3 AND {_near("0, 2, 4", REACH + 1).format("candidates")})
+    OR (kind = 4 AND {_near("1, 3", REACH + 1).format("candidates")})
+    OR (kind = 5 AND {_near("0, 2, 4", REACH + 1).format("candidates")} AND {_near("1, 3", REACH + 1).format("candidates")})),
+summed AS (
+  SELECT n, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    count(*) FILTER (WHERE kind > 2) AS n_linked, string_agg({_LABEL}, ',' ORDER BY s, kind) FILTER (WHERE kind <= 2) AS base, string_agg({_LABEL}, ',' ORDER BY s, kind) AS spans
+  FROM reported GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM docs LEFT JOIN summed USING (n)"""
+
+ORACLE_SQL = {"op2_secrets": SECRETS, "op5_urls": URLS, "op6_decontamination": DECONTAMINATION}
