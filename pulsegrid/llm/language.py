@@ -40,7 +40,7 @@ class Settings:
 
     per_language: int = 1_200
     square: float = 1e-5
-    steps: int = 150
+    steps: int = 80
     scale: float = 12.0  # brings a mean vector's length near 1
     families: tuple[tuple[str, tuple[str, ...]], ...] = tuple(FAMILIES.items())
 
