@@ -28,6 +28,21 @@ def test_panes_equal_numpy_at_a_large_offset(spark, n, hop):
         assert [r.rms, r.mean, r.std] == pytest.approx([np.sqrt((w * w).mean()), w.mean(), w.std()], rel=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 3, 10**6])
+def test_blocks_change_nothing(spark, monkeypatch, block):
+    df = numbered(spark, np.random.default_rng(5).normal(size=700)).unionByName(numbered(spark, range(90), "r"))
+
+    def made():
+        panes = frames.feature_frames(df, config(20, 4)).select("sensor_id", "frame_no", "t", F.round("std", 9), F.round("dominant_freq_hz", 9)).collect()
+        rows = frames.row_windows(df, 7, 3, True).select("sensor_id", "frame_no", F.round("rms", 9), F.size("window")).collect()
+        return sorted(panes), sorted(rows), sorted(frames.rolling_stats(df, 9).select("sensor_id", "i", F.round("std", 9)).collect())
+
+    whole = made()
+    monkeypatch.setattr(frames, "PANE_BLOCK", block)
+    monkeypatch.setattr(frames, "SAMPLE_BLOCK", block)
+    assert made() == whole and [len(x) for x in whole] == [171 + 18, 232 + 28, 692 + 82]
+
+
 def test_row_frame_equals_panes(spark):
     df = numbered(spark, np.random.default_rng(2).normal(size=300))
     a, b = (sorted(map(tuple, f(df, 50, 10, False).select("frame_no", F.round("rms", 9), F.round("std", 9)).collect())) for f in (frames.pane_windows, frames.row_windows))
