@@ -15,6 +15,7 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,7 @@ def ranges(points: list[int]) -> str:
     return "".join(out)
 
 
+@cache
 def letters_and_numbers() -> tuple[str, str]:
     """Letters and numbers as the tokenizers library's own Unicode version has them.
 
