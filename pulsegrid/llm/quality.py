@@ -47,13 +47,17 @@ class Verdict:
 
 
 def compression(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> Verdict:
-    """An empty text has no ratio (0) and lies within any band. A last chunk shorter than the others isn't judged alone."""
+    """An empty text has no ratio (0) and lies within any band. ``bad_chunks`` is the share of the bytes in bad chunks;
+    a last chunk shorter than the others is judged by the whole text's band for its length."""
     if not data:
         return Verdict(0.0, 0.0, True)
     ratio = len(data) / len(compressor.compress(data))
-    n, step = len(data) // bands.chunk_bytes, bands.chunk_bytes
-    each = (step / len(compressor.compress(data[k * step : (k + 1) * step])) for k in range(n))
-    bad = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in each) / n if n else 0.0
+    bad = 0
+    for k in range(0, len(data), bands.chunk_bytes):
+        part = data[k : k + bands.chunk_bytes]
+        low, high = bands.chunk if len(part) == bands.chunk_bytes else bands.limits(len(part))
+        bad += 0 if low <= len(part) / len(compressor.compress(part)) <= high else len(part)
+    bad /= len(data)
     low, high = bands.limits(len(data))
     return Verdict(ratio, bad, low <= ratio <= high and bad <= bands.bad_chunks)
 

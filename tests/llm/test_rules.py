@@ -46,6 +46,20 @@ def test_bands():
     assert not judge(mixed) and quality.compression(mixed, bands, compressor).bad_chunks >= 0.5
 
 
+@pytest.mark.parametrize("junk", ["noise", "abc"])
+@pytest.mark.parametrize("size", [2100, 4200])
+def test_a_bad_tail_counts_like_a_bad_start(size, junk):
+    import base64
+    import random
+
+    draw, bands, compressor = random.Random(2), quality.Bands(), zstandard.ZstdCompressor(level=3)
+    prose = " ".join("".join(draw.choices("etaoinshrdlu", k=draw.randint(2, 9))) for _ in range(2000)).encode()[:size]
+    bad = {"noise": base64.b64encode(draw.randbytes(1425)), "abc": b"abc" * 633 + b"a"}[junk]
+    assert len(bad) == 1900 and quality.compression(prose, bands, compressor).within
+    assert not quality.compression(bad + prose, bands, compressor).within
+    assert not quality.compression(prose + bad, bands, compressor).within
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path"),
     [
