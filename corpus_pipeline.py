@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsegrid.llm import bpe, decontamination, secret_scan, simhash, toxicity
 from pulsegrid.llm.common import shared_dir, table
 
+#: Jaccard similarity of five-word shingle sets from which on two documents are near copies.
+NEAR = 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs, similarity=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
