@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_arrow, remainder, table
+from pulsegrid.llm.common import drawn, map_arrow, remainder, table
 
 #: Families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -36,9 +36,13 @@ MIX = np.uint32(2654435761)  # odd, near 2**32 over the golden ratio
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the training rows of each language; they are drawn by a hash of their id."""
+    """What the fit is bounded by: ``per_language`` training rows of each language, those with the least hashes, of texts
+    up to ``longest`` characters and ``characters`` in all; the ``languages`` most frequent ones."""
 
     per_language: int = 1_200
+    longest: int = 200_000
+    characters: int = 16_000_000
+    languages: int = 100
     square: float = 1e-5
     steps: int = 80
     scale: float = 12.0  # brings a mean vector's length near 1
@@ -141,14 +145,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> M
 
 
 def train(documents: DataFrame, settings: Settings | None = None) -> Model:
-    """Fits a model on text and lang; null and letterless texts and null languages teach nothing."""
+    """Fits a model on text and lang; null and letterless texts and null languages teach nothing.
+
+    The driver gets a bounded sample (see ``Settings``) as hashed features; null and repeated ids change no bound, and a
+    repeated row is drawn as often as it occurs or not at all. Languages rarer than the ``languages`` most frequent ones
+    aren't learned.
+    """
     settings = settings or Settings()
     known = documents.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
+    counts = {r.lang: r["count"] for r in most.collect()}
     if not counts:
         return Model()
-    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 1_000_000 * settings.per_language // n))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")])
+    some = drawn(known, settings.per_language, settings.longest, settings.characters, "lang", counts)
 
     def run(batch: dict) -> dict:
         ids, values = [], []
@@ -158,7 +167,9 @@ def train(documents: DataFrame, settings: Settings | None = None) -> Model:
             values.append((times / max(1, times.sum())).astype("<f4").tobytes())
         return {"doc_id": batch["doc_id"], "lang": batch["lang"], "ids": ids, "shares": values}
 
-    found = map_arrow(drawn, run, "doc_id long, lang string, ids binary, shares binary").collect()
+    found = map_arrow(some, run, "doc_id long, lang string, ids binary, shares binary").collect()
+    if not found:
+        raise ValueError("no text short enough to learn from was drawn")
     found.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.ids))
     return fit([(r.lang, np.frombuffer(r.ids, "<u2").astype(np.int64), np.frombuffer(r.shares, "<f4").astype(float)) for r in found], settings)
 

@@ -41,36 +41,51 @@ def matches(text: Column, number: int, kind: Kind) -> Column:
     return F.when(kind.guard(text), F.transform(F.filter(pieces, lambda x: x["match"].isNotNull()), one))
 
 
-def located(documents: DataFrame, kinds: list[Kind], notes: list[str] = []) -> DataFrame:  # noqa: B006
-    """row, doc_id, kind (a number), start, end, the notes: the kept spans; and for each row of ``documents`` one with a null kind.
-
-    ``row`` tells rows apart, equal ones too. Null text counts as empty. Everything of a row is in one partition.
-    """
-    text = F.col("text")
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    found = rows.select("row", "doc_id", *(matches(text, k, kind).alias(f"m{k}") for k, kind in enumerate(kinds)))
+def parts_of(rows: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """row, doc_id, kind, at, gap, size, keep, notes: all matches of ``rows`` (row, doc_id, text); and for each row one with a null kind."""
+    found = rows.select("row", "doc_id", *(matches(F.col("text"), k, kind).alias(f"m{k}") for k, kind in enumerate(kinds)))
     empty = F.transform(F.array(F.lit(1)), lambda x: F.lit(None))  # one null: the row's own entry
     all_ = F.concat(empty, *(F.coalesce(f"m{k}", F.array()) for k in range(len(kinds))))
-    parts = found.select("row", "doc_id", F.explode(all_).alias("p")).select("row", "doc_id", "p.*").repartition("row")
+    return found.select("row", "doc_id", F.explode(all_).alias("p")).select("row", "doc_id", "p.*")
+
+
+def placed(parts: DataFrame, notes: list[str] = []) -> DataFrame:  # noqa: B006
+    """row, doc_id, kind (a number), start, end, the notes: the kept spans, and the rows' own entries. All of a row is in one partition."""
     so_far = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
-    return placed.where("kind is null or keep").select("row", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", *notes)
+    ends = parts.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
+    return ends.where("kind is null or keep").select("row", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", *notes)
+
+
+def located(documents: DataFrame, kinds: list[Kind], notes: list[str] = []) -> DataFrame:  # noqa: B006
+    """``placed`` matches of ``documents``; ``row`` tells rows apart, equal ones too. Null text counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return placed(parts_of(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text), kinds), notes)
+
+
+def nearest(name: str, test: Column) -> dict[str, Column]:
+    """{name}_end and {name}_start: the furthest end before and the nearest start after a span, of those for which ``test`` holds.
+
+    Both ways look at what came before only: Spark adds such a frame up as it goes, while a frame up to the end is gone
+    through anew for every span.
+    """
+    order = ("start", "end", "kind")
+    forward = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("row").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    return {f"{name}_end": F.max(F.when(test, F.col("end"))).over(forward), f"{name}_start": F.min(F.when(test, F.col("start"))).over(backward)}
+
+
+def within(name: str, far: int) -> Column:
+    """Whether one of those found by ``nearest`` begins or ends less than ``far`` code points away, or overlaps."""
+    return F.coalesce(F.col(f"{name}_end") > F.col("start") - far, F.lit(False)) | F.coalesce(F.col(f"{name}_start") < F.col("end") + far, F.lit(False))
 
 
 def apart(spans: DataFrame, sure: Column) -> DataFrame:
-    """``spans`` (of ``located``) without those that overlap a span for which ``sure`` holds, unless they are such themselves.
+    """``spans`` (of ``placed``) without those that overlap a span for which ``sure`` holds, unless they are such themselves.
 
-    A sweep in order of the starts: only the furthest end before and the nearest start after matter.
+    A sweep in order of the starts, once forward and once backward.
     """
-    order = Window.partitionBy("row").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    names = spans.columns
-    near = spans.withColumns({
-        "sure": F.coalesce(sure, F.lit(False)),
-        "last_end": F.max(F.when(sure, F.col("end"))).over(before), "next_start": F.min(F.when(sure, F.col("start"))).over(after),
-    })
-    overlaps = F.coalesce(F.col("last_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next_start") < F.col("end"), F.lit(False))
-    return near.where(F.col("kind").isNull() | F.col("sure") | ~overlaps).select(*names)
+    near = spans.withColumn("sure", F.coalesce(sure, F.lit(False))).withColumns(nearest("sure", F.col("sure")))
+    return near.where(F.col("kind").isNull() | F.col("sure") | ~within("sure", 0)).select(*spans.columns)
 
 
 def joined(spans: Column, names: list[str]) -> Column:

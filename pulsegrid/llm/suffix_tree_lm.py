@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import arrow_schema, cut_lineage, remainder, table
+from pulsegrid.llm.common import arrow_schema, binary_text, cut_lineage, remainder, table, text_batches
 
 END, RARE = 0, 1
-CHUNK_BYTES = 2_000_000
 FLUSH = 400_000
 
 
@@ -47,27 +46,6 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # on bytes: A-Z only, ASCII white space only
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_BYTES or k + 1 == len(texts):
-            yield first, k + 1
-            first, size = k + 1, 0
-
-
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        column = batch.schema.names.index("text")
-        for first, end in chunks([b"" if not v.is_valid else v.as_buffer() for v in batch.column(column)]):
-            part = batch.slice(first, end - first)
-            yield part, [t or b"" for t in part.column(column).to_pylist()]
-
-
-def binary_text(documents: DataFrame, *columns) -> DataFrame:
-    return documents.select(*columns, F.col("text").cast("binary").alias("text"))
-
-
 def word_counts(documents: DataFrame) -> DataFrame:
     """word (binary), c: over all texts. A task adds its own counts up before the shuffle."""
     target = arrow_schema("word binary, c long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_arrow, remainder, table
+from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_list, remainder, table
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
@@ -39,9 +39,12 @@ MEMO_WORDS = 250_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that the model is fitted on; they are drawn by a hash of their id."""
+    """``sample`` bounds the labelled rows that the model is fitted on, those with the least hashes; ``longest`` the
+    characters of one of their texts and ``characters`` of all."""
 
     sample: int = 8_000
+    longest: int = 200_000
+    characters: int = 64_000_000
     min_documents: int = 3
     absolute: float = 2e-4
     square: float = 1e-5
@@ -186,12 +189,10 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
 
 
 def sampled_labels(labels: DataFrame, size: int) -> DataFrame:
-    """At most about ``size`` labelled ids, drawn by a hash of the id; a few per cent fewer, so that the bound holds."""
-    there = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
-    n = there.count()
-    if n <= size:
-        return there
-    return there.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * size / n))
+    """The ``size`` labelled ids with the least hashes, each once; of an id with several labels the highest."""
+    there = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    draw = F.xxhash64("doc_id")
+    return there.where(draw <= hash_bound(size, there.count())).orderBy(draw, "doc_id").limit(size)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -202,11 +203,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def train_on_fold(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Learns from the labelled documents whose crc32 remainder modulo 4 isn't 2."""
+    """Learns from the labelled documents whose crc32 remainder modulo 4 isn't 2.
+
+    The sample's bounds hold whatever the ids: labels without an id or a value teach nothing, an id labelled more than
+    once counts as its highest label, and of documents that share an id as many as the bounds allow are used, repeated
+    rows included. Without a label the model scores 0 everywhere. Only doc_id, text and toxic are read.
+    """
     settings = settings or Settings()
     known = sampled_labels(labels.where(remainder(4) != 2), settings.sample)
     texts = documents.where((remainder(4) != 2) & F.col("text").isNotNull()).select("doc_id", "text")
-    return train(texts.join(F.broadcast(known), "doc_id"), settings)
+    found = texts.join(F.broadcast(known), "doc_id")  # ``size`` rows at most; ids that occur often may make more of them
+    return train(drawn(found, settings.sample, settings.longest, settings.characters), settings)
 
 
 def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings | None = None) -> DataFrame:
@@ -219,8 +226,9 @@ def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sett
 
     def run(batches):
         for batch in batches:
-            keep = [held.value.score(t or "") < threshold for t in batch.column(batch.schema.names.index(at)).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in pieces(batch):
+                keep = [held.value.score(t or "") < threshold for t in python_list(part.column(part.schema.names.index(at)))]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 

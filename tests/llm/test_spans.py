@@ -95,6 +95,50 @@ def test_linking_against_all_pairs(spark):
     assert n > 20
 
 
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    """Eight times the spans must not take anything like 64 times as long, for either operator and for the masking."""
+    import time
+
+    def took(n, query):
+        docs = frame(spark, ["token=abcdefgh1 a@b.de , " * n]).withColumn("n_chars", F.lit(0).cast("long"))
+        began = time.perf_counter()
+        query(docs).collect()
+        return time.perf_counter() - began
+
+    for query in (secret_scan.scan, secret_scan.redact, pii.scan):
+        assert took(32_000, query) < 10 * took(4_000, query)
+
+
+def test_masking_across_blocks(spark, monkeypatch):
+    """Small blocks: spans cross them, touch them and overlap each other."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 7)
+    draw, texts, spans = random.Random(11), [], []
+    for k in range(60):
+        texts.append("".join(draw.choices("abé😀\n ", k=draw.randint(1, 60))))
+        for _ in range(draw.randint(0, 5)):
+            start = draw.randrange(len(texts[k]))
+            spans.append((k, start, draw.randint(start + 1, len(texts[k]))))
+    cuts = secret_scan.cuts(spark.createDataFrame(spans, "row long, start long, end long"), "#").withColumnRenamed("row", "doc_id")
+    joined = frame(spark, texts).join(cuts, "doc_id", "left")
+    got = {r.doc_id: r.out for r in joined.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(secret_scan.masked(F.col("text"), F.col("cuts"))).alias("out")).collect()}
+    for k, text in enumerate(texts):
+        out, done = "", 0
+        for start, end in sorted((a, b) for row, a, b in spans if row == k):
+            if start >= done:
+                out += text[done:start] + "#"
+            done = max(done, end)
+        assert got[k] == out + text[done:]
+
+
+def test_long_tokens_are_candidates(spark):
+    key = "aB3xY9" * 15
+    rows = {r.doc_id: r for r in secret_scan.scan(frame(spark, [f"account_id: storage7 and {key}== end", key])).collect()}
+    assert rows[0].n_linked == 2 and rows[1].n_linked == 0
+    long_name = "client_id=" + "q7" * 50
+    out = secret_scan.redact(frame(spark, [f"{long_name} password=hunter22"])).first()
+    assert out.text == "[SECRET] [SECRET]"
+
+
 def test_weak_parts_alone_are_not_reported(spark):
     texts = ["aB3" * 8, "login: bob1 nothing", "https://h.io/x alone", "aB3" * 8 + " client_id=foobar12", "user_name=bob12 " + "y " * 200 + "aB3" * 8]
     got = {r.doc_id: r.n_linked for r in secret_scan.scan(frame(spark, texts)).collect()}
