@@ -12,55 +12,27 @@ makes at most 65 rows for a fingerprint whatever the cell holds.
 
 Copies collapse to one fingerprint before any of this; components come from alternating stars over the links.
 
-``near_links`` adds the links of another rule, a Jaccard similarity of word-shingle sets. Two sets that similar share a
-shingle among the first of each in any one order (prefix filter), so texts that share one are compared set by set. The
-order is by hash, with shingles that a sample of the texts repeats put last: it makes fewer candidates and loses none.
-Where more than ``crowded`` texts still share a first shingle, they are dealt into groups by a hash of shingle and text
-and compared within them: there a pair is sure to be seen only if it also shares a shingle that is not crowded.
+With ``similarity`` the links of another rule are added, a Jaccard similarity of word-shingle sets (``near_copies``).
 """
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import arrow_schema, cut_lineage, map_arrow, table
+from pulsegrid.llm import near_copies
+from pulsegrid.llm.common import cut_lineage, map_arrow, stored, table
+from pulsegrid.llm.near_copies import shingle_hashes
 
 SHINGLE_WORDS = 3
-SEED = 42
 DISTANCE = 2
 CROWDED = 64
-NEAR_WORDS = 5
-GROUP = 8
-SAMPLED = 16  # one text in so many shows which shingles are common
-COMMON = 200_000
-SLICE = 256
-PARITY_BITS = 2048
 SEGMENTS = 16
 ONES = 0x1111111111111111
 BLOCK = 1 << 15
 
 
-def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """XXH64 of every run of ``width`` words, repeats included; a shorter text is one run; no words, no hashes."""
-    words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = list(accumulate((len(w) + 1 for w in words)))
-    starts = [0, *ends[:-width]]
-    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)), np.uint64, len(starts))
-
-
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     """Bit k is set if it is in over half the hashes. As a signed 64-bit integer."""
     hashes = shingle_hashes(text, width)
@@ -72,9 +44,10 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp. Null and wordless texts have fingerprint 0."""
-    run = lambda b: {"doc_id": b["doc_id"], "fp": [fingerprint(t or b"", width) for t in b["text"]]}
-    return map_arrow(documents.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
+    """doc_id, key (a hash of the text), fp. Null and wordless texts have fingerprint 0."""
+    run = lambda b: {"doc_id": b["doc_id"], "key": b["key"], "fp": [fingerprint(t, width) for t in b["text"]]}
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return map_arrow(documents.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text")), run, "doc_id long, key long, fp long")
 
 
 def bit_counts(fp: Column) -> Column:
@@ -128,121 +101,54 @@ def stars(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn: each round hangs neighbours onto the least node they can see. Minima are combined
     before the shuffle and joined back as a table of their own, so Spark can split a node with many neighbours.
+    The rounds meet in written tables: a checkpoint would hand its plan's constraints on, which double from round to round.
     """
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node != root").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node != root").distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = cut_lineage(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")))
+        least = stored(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root"))
         # a node that hangs onto itself is gone; every other edge goes on from its upper to its lower end
-        large = cut_lineage(large.where("node != root").distinct())
-        least = cut_lineage(large.groupBy("node").agg(F.min("root").alias("least")))
+        large = stored(large.where("node != root").distinct())
+        least = stored(large.groupBy("node").agg(F.min("root").alias("least")))
         moved = large.join(least, "node")
         small = moved.select(F.col("root").alias("node"), F.col("least").alias("root")).where("node != root")
-        now = cut_lineage(least.select("node", F.col("least").alias("root")).unionByName(small).distinct())
+        now = stored(least.select("node", F.col("least").alias("root")).unionByName(small).distinct())
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first()
         if mark == seen:
             return now
         seen = mark
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
-
-
-def needed(size: int, similarity: float) -> int:
-    """The least number of shingles that a set of ``size`` shares with any set that similar."""
-    return max(1, math.ceil(similarity * size - 1e-9))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set, ``common`` (sorted) ones last. Sets that similar share one of their firsts."""
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~late], hashes[late]])
-    return hashes[: len(hashes) - needed(len(hashes), similarity) + 1] if len(hashes) else hashes
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """How many hashes fall to each of PARITY_BITS places, odd or even. Two sets differ in as many shingles at least as places do."""
-    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """At most COMMON hashes that occur more than once in a sample of ``texts`` (key, text), sorted."""
-    run = lambda b: {"h": [h for t in b["text"] for h in shingle_set(t or b"", width).view(np.int64).tolist()]}
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0)
-    found = map_arrow(some, run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    return np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
-
-
-def candidates(texts: DataFrame, similarity: float, width: int, crowded: int) -> DataFrame:
-    """Pairs of keys (a, b), a < b, of ``texts`` (key, text) that share a first shingle and whose sizes allow the similarity."""
-    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-
-    def run(batch: dict) -> dict:
-        sets = [shingle_set(t or b"", width) for t in batch["text"]]
-        return {"key": batch["key"], "n": [len(s) for s in sets], "bits": [parities(s) for s in sets], "first": [prefix(s, held.value, similarity).view(np.int64) for s in sets]}
-
-    firsts = map_arrow(texts, run, "key long, n int, bits binary, first array<long>").where("n > 0")
-    distinct = cut_lineage(firsts.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first")))
-    members = distinct.select(F.explode("first").alias("h"), "key", "n")
-    shared = cut_lineage(members.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("n").alias("n_a"), F.max("n").alias("n_b")).where("c > 1"))
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
-    two = shared.where((F.col("c") == 2) & sizes).select("a", "b")
-    group = F.when(F.col("c") > crowded, F.pmod(F.xxhash64("h", "key"), F.ceil(F.col("c") / GROUP))).otherwise(0)
-    met = cut_lineage(members.join(shared.where("c > 2").select("h", "c"), "h").select("h", group.alias("part"), "key", "n"))
-    a, b = met.select("h", "part", F.col("key").alias("a"), F.col("n").alias("n_a")), met.select("h", "part", F.col("key").alias("b"), F.col("n").alias("n_b"))
-    more = a.join(b, ["h", "part"]).where((F.col("a") < F.col("b")) & sizes).select("a", "b")
-    pairs = two.unionByName(more).distinct()
-    for side in "ab":
-        pairs = pairs.join(distinct.select(F.col("key").alias(side), F.col("n").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-
-    def may_be(batches):
-        for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(f"bits_{side}").to_pylist()), np.uint64).reshape(batch.num_rows, PARITY_BITS // 64) for side in "ab"]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
-            keep = apart * (1 + similarity) <= both * (1 - similarity) + 1e-6  # |A - B| + |B - A| <= (1 - s) / (1 + s) (|A| + |B|)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=target).filter(pa.array(keep))
-
-    target = arrow_schema("a long, b long")
-    return pairs.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(may_be, "a long, b long")
+def near_links(documents: DataFrame, fp_of: DataFrame, hung: DataFrame, similarity: float) -> DataFrame:
+    """``hung`` (node, root: components of fingerprints) with those merged that hold texts of five-word shingle sets that similar.
 
+    ``fp_of`` has the fingerprint of each text's key.
+    """
 
-def near_links(documents: DataFrame, similarity: float, width: int = NEAR_WORDS, crowded: int = CROWDED, fp_width: int = SHINGLE_WORDS) -> DataFrame:
-    """Links (a, b) between the fingerprints of texts whose sets of ``width``-word shingles have at least that Jaccard similarity."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = documents.select(F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    pairs = cut_lineage(candidates(texts, similarity, width, crowded))
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    def roots(trees: DataFrame) -> DataFrame:
+        return stored(fp_of.join(trees, fp_of.fp == trees.node, "left").select("key", F.coalesce("root", "fp").alias("root")))
 
-    once = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    both = pairs.join(once.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(once.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    def merged(trees: DataFrame, root: DataFrame, links_: DataFrame) -> DataFrame:
+        sides = near_copies.attached(links_, root).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        return stars(trees.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sides))
 
-    target = arrow_schema("a long, b long")
+    texts, root = near_copies.keyed(documents), roots(hung)
+    met = near_copies.groups(texts, similarity, near_copies.WORDS)
+    hung = merged(hung, root, near_copies.verified(texts, near_copies.to_smallest(met, similarity), similarity, near_copies.WORDS))
+    root = roots(hung)
+    rest = near_copies.verified(texts, near_copies.across(met, root, similarity), similarity, near_copies.WORDS)
+    return hung if rest.isEmpty() else merged(hung, root, rest)
 
-    def compare(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                rows, sets, found = whole.slice(at, SLICE).to_pylist(), {}, []
-                for r in rows:
-                    for side in "ab":
-                        if r[side] not in sets:
-                            sets[r[side]] = shingle_set(r[f"text_{side}"], width)
-                    if similar(sets[r["a"]], sets[r["b"]], similarity):
-                        found.append([fingerprint(r["text_a"], fp_width), fingerprint(r["text_b"], fp_width)])
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=target)
 
-    return both.mapInArrow(compare, "a long, b long").where("a != b").distinct()
+def grouped(documents: DataFrame, width: int, distance: int, crowded: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Of every row doc_id, fp and key (a hash of its text); and the components: node, root, for fingerprints that aren't roots."""
+    of = cut_lineage(fingerprints(documents, width))
+    hung = stars(links(of.select("fp").distinct(), distance, crowded))
+    if similarity is not None:
+        hung = near_links(documents, stored(of.select("key", "fp").distinct()), hung, similarity)
+    return of, hung
 
 
 def components(documents: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE, crowded: int = CROWDED, similarity: float | None = None) -> DataFrame:
@@ -252,12 +158,8 @@ def components(documents: DataFrame, width: int = SHINGLE_WORDS, distance: int =
     take part, and only a component of nothing else has no component_id; an empty table gives none. Only doc_id and
     text are read. With ``similarity`` texts whose five-word shingles are that similar (Jaccard) are linked as well.
     """
-    of = cut_lineage(fingerprints(documents, width))
+    of, hung = grouped(documents, width, distance, crowded, similarity)
     least = cut_lineage(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = links(least.select("fp"), distance, crowded)
-    if similarity is not None:
-        edges = edges.unionByName(near_links(documents, similarity, crowded=crowded, fp_width=width))
-    hung = stars(edges)
     rooted = least.join(hung.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = cut_lineage(rooted.join(whole, "root").select("fp", "component_id"))
@@ -267,18 +169,23 @@ def components(documents: DataFrame, width: int = SHINGLE_WORDS, distance: int =
 def deduplicate(documents: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE, crowded: int = CROWDED, similarity: float | None = None) -> DataFrame:
     """The documents, all their columns, with one of each component: the one with the least id.
 
-    Of repeated rows with that id one stays, the first by text. Rows without an id can't be told apart and all stay.
+    Rows without an id come after all that have one. Of rows that share that id the one with the least hash of its text
+    stays, of equal rows one. Null and empty texts are copies of each other; an empty table gives none.
     """
     names = documents.columns
     plain = documents.toDF(*(f"c{k}" for k in range(len(names))))
-    ident, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    found = components(documents, width, distance, crowded, similarity).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = cut_lineage(ids.where("not first or rows > 1"))
-    joined = plain.join(gone.select(F.col("doc_id").alias("gone"), "first", "rows"), F.col(ident) == F.col("gone"), "left")
-    single = joined.where("gone is null").select(*plain.columns)
-    again = joined.where("first and rows > 1").withColumn("at", F.row_number().over(Window.partitionBy(ident).orderBy(F.col(text).asc_nulls_first())))
-    return single.unionByName(again.where("at = 1").select(*plain.columns)).toDF(*names)
+    ident, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    of, hung = grouped(documents, width, distance, crowded, similarity)
+    rows = of.groupBy("doc_id", "key").agg(F.first("fp").alias("fp"), F.count("*").alias("rows"))
+    known = rows.join(hung, F.col("fp") == F.col("node"), "left").select("doc_id", "key", "rows", F.coalesce("root", "fp").alias("root"))
+    known = stored(known.withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "key")))
+    best = stored(known.groupBy("root").agg(F.min("place").alias("best")))
+    gone = stored(known.join(best, "root").where("place != best or rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("place") == F.col("best")).alias("__first")))
+    key = F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+    joined = plain.join(gone, ident.eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    once = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
+    again = joined.where("__first").withColumn("__at", once).where("__at = 1")
+    return joined.where("__first is null").select(*plain.columns).unionByName(again.select(*plain.columns)).toDF(*names)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

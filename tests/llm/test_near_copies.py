@@ -1,8 +1,10 @@
+import random
+
 import corpus_pipeline
 import pytest
 from tests.llm.test_simhash import brute_components, brute_fingerprint, signed
 
-from pulsegrid.llm import simhash
+from pulsegrid.llm import near_copies, simhash
 from pulsegrid.llm.common import table
 
 
@@ -47,10 +49,36 @@ def test_near_copies_beyond_two_bits_go(spark):
     assert len(brute_kept(texts)) == 8 + 3
 
 
-@pytest.mark.parametrize("crowded", [4, 64])
-def test_a_large_group_becomes_one(spark, crowded):
+def test_a_large_group_becomes_one(spark):
     texts = made(1, 120) | {200: "a text of its own that nothing else in here resembles"}
-    assert kept(spark, texts, crowded=crowded) == brute_kept(texts) == {0, 200}
+    assert kept(spark, texts) == brute_kept(texts) == {0, 200}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scattered_groups_against_brute_force(spark, seed, monkeypatch):
+    """Many changes a copy, so that members of a group are near some and far from others; hot shingles too."""
+    monkeypatch.setattr(near_copies, "SAMPLED", 1 + seed)
+    monkeypatch.setattr(near_copies, "HOT", 20)
+    draw, texts = random.Random(seed), {}
+    passage = [f"p{k}" for k in range(80)]
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(draw.randint(0, 7)):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words[: draw.randint(70, 120)])
+    for _ in range(80):  # a shared passage and some own words
+        texts[len(texts)] = " ".join(passage + [f"y{draw.randrange(10**6)}" for _ in range(draw.randint(0, 30))])
+    got = kept(spark, texts)
+    assert got == brute_kept(texts) and 10 < len(got) < len(texts) - 50
+
+
+def test_rows_without_ids_and_ids_with_several_texts(spark):
+    near = made(1, 3)
+    rows = [(None, near[0]), (None, near[1]), (1, near[2]), (1, "another text under the same id"), (2, "alone"), (2, "alone"), (None, "nobody's text here"), (None, "nobody's text here")]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(1, near[2]), (1, "another text under the same id"), (2, "alone"), (0, "nobody's text here")])
 
 
 def test_stage_against_brute_force(spark, sf):
