@@ -207,5 +207,6 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int)
     sketches = map_arrow(wanted, run_sketch, "key long, n int, bits binary").dropDuplicates(["key"])
     close = stored(attached(pairs, sketches).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_be, "a long, b long"))
     once = texts.join(stored(keys_of(close)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    return stored(attached(close, once).select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put in one task
+    return stored(attached(close.repartition(tasks, "a", "b"), once).select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
 

@@ -100,25 +100,23 @@ def stars(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): node, root, root the least of the component; roots aren't listed.
 
     Large and small stars in turn: each round hangs neighbours onto the least node they can see. Minima are combined
-    before the shuffle and joined back as a table of their own, so Spark can split a node with many neighbours.
-    The rounds meet in written tables: a checkpoint would hand its plan's constraints on, which double from round to round.
+    before the shuffle and joined back, so Spark can split a node with many neighbours. It ends when every node hangs
+    on one root and no root on another. The rounds meet in written tables: a checkpoint would hand its plan's
+    constraints on, which double from round to round.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node != root").distinct())
-    seen = None
     while True:
+        ends = now.select("node", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("root").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
+            return now
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = stored(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least")))
+        least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root"))
         # a node that hangs onto itself is gone; every other edge goes on from its upper to its lower end
         large = stored(large.where("node != root").distinct())
-        least = stored(large.groupBy("node").agg(F.min("root").alias("least")))
-        moved = large.join(least, "node")
-        small = moved.select(F.col("root").alias("node"), F.col("least").alias("root")).where("node != root")
+        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        small = large.join(least, "node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node != root")
         now = stored(least.select("node", F.col("least").alias("root")).unionByName(small).distinct())
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first()
-        if mark == seen:
-            return now
-        seen = mark
 
 
 def near_links(documents: DataFrame, fp_of: DataFrame, hung: DataFrame, similarity: float) -> DataFrame:
