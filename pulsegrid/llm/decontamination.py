@@ -5,8 +5,8 @@ window of the test items is binary-searched in it, all windows at once. The inte
 the window occurs verbatim; neighbouring places on one diagonal join to longest matches. Texts never leave their
 task, so nothing is shuffled and a passage that many documents share costs no more than its occurrences.
 
-The test set goes to the executors in blocks of at most ``block_bytes``, each a broadcast of its own, read one after
-the other. So its size is bounded whatever the benchmark's.
+The test set goes to the executors in blocks of at most ``block_bytes``, each a broadcast of its own. A worker holds one
+of several at a time: it reads a block from its local copy for a shard and lets it go before the next.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def split_words(text: bytes) -> list[bytes]:
 class TestBlock:
     """Test items as word ids, and their distinct windows."""
 
-    item_ids: list[str]
+    item_ids: list[str | None]
     vocabulary: dict[bytes, int]
     windows: np.ndarray  # one row of word ids per distinct window, zeros after its end
     lengths: np.ndarray
@@ -171,7 +171,7 @@ def scan(texts: list[bytes], blocks: Iterator[TestBlock], detail: bool) -> list[
         np.add.at(covered, position + block.lengths[window], -1)
         document = np.searchsorted(starts, position, "right") - 1
         for d, k in set(zip(document.tolist(), window.tolist(), strict=True)):
-            out[d].item_ids.update(block.item_ids[item] for item, _ in block.owners[k])
+            out[d].item_ids.update(name for item, _ in block.owners[k] if (name := block.item_ids[item]) is not None)
         if detail:
             _join(out, block, (position - starts[document]).tolist(), document.tolist(), window.tolist())
     hit = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
@@ -198,15 +198,23 @@ def _join(out: list[Found], block: TestBlock, position: list[int], document: lis
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcasts of the test set, none larger than about ``block_bytes``. Items without an id or words never occur."""
+    """Broadcasts of the test set, none larger than about ``block_bytes``. Items without words never occur; those without an id are
+    searched like the others but have no place in a list of ids."""
     context = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    each = (items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n))
+    each = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n))
     return [context.broadcast(test_block([(r.i, bytes(r.t)) for r in part.collect()], window)) for part in each]
 
 
+def _in_turn(blocks: list) -> Iterator[TestBlock]:
+    """The blocks in a worker. ``value`` would keep each for as long as the worker lives; that is only done for a single one."""
+    for b in blocks:
+        path = getattr(b, "_path", None)
+        yield b.value if len(blocks) == 1 or path is None else b.load_from_path(path)
+
+
 def _scanned(documents: DataFrame, blocks: list, columns: list[str], schema: str, shard_words: int, detail: bool, rows) -> DataFrame:
     target = arrow_schema(schema)
 
@@ -218,7 +226,7 @@ def _scanned(documents: DataFrame, blocks: list, columns: list[str], schema: str
                 size += len(texts[k].as_buffer() or b"") if texts[k].is_valid else 0
                 if size >= 6 * shard_words or k + 1 == batch.num_rows:
                     part = batch.slice(first, k + 1 - first)
-                    found = scan([t or b"" for t in part.column("__text").to_pylist()], (b.value for b in blocks), detail)
+                    found = scan([t or b"" for t in part.column("__text").to_pylist()], _in_turn(blocks), detail)
                     yield from rows(part, found, target)
                     first, size = k + 1, 0
 

@@ -39,7 +39,7 @@ FROM named LEFT JOIN best USING (n) LEFT JOIN counted USING (n)"""
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-DECONTAMINATION = f"""WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+DECONTAMINATION = f"""WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
 sized AS (SELECT item, w, least(len(w), {WINDOW}) AS size FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM sized)),
 docs AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
@@ -47,7 +47,7 @@ places AS (SELECT n, size, i, array_to_string(w[i : i + size - 1], ' ') AS key F
   SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM sized) WHERE len(w) >= size)),
 found AS (SELECT n, size, i, item FROM places JOIN windows USING (size, key)),
 covered AS (SELECT n, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT n, unnest(range(i, i + size)) AS j FROM found) GROUP BY n),
-listed AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT n, item FROM found) GROUP BY n)
+listed AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT n, item FROM found WHERE item IS NOT NULL) GROUP BY n)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (n) LEFT JOIN listed USING (n)"""

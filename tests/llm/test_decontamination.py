@@ -86,3 +86,26 @@ def test_query(spark, sf):
         assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(names))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
+
+
+def test_items_without_an_id_are_searched(spark):
+    passage = " ".join(f"w{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, passage), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (3, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in d.contamination(docs, bench).collect()}
+    assert got == {1: (15, [], True), 2: (0, [], False)}
+
+
+def test_a_worker_holds_one_block_at_a_time():
+    class Block:
+        alive = 0
+        _path = "somewhere"
+
+        def load_from_path(self, path):
+            Block.alive += 1
+            return path
+
+    blocks = [Block(), Block(), Block()]
+    turn = d._in_turn(blocks)
+    assert next(turn) == "somewhere" and Block.alive == 1
+    assert list(turn) == ["somewhere"] * 2 and not any("_value" in vars(b) for b in blocks)

@@ -56,12 +56,18 @@ def test_empty_table(spark, none, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns_change_nothing(spark, odd, name):
-    if name in ("lm", "language", "toxicity"):
-        pytest.skip("covered by test_rows; a second training would only take time")
     bare = odd.select("doc_id", "text", "lang", "source", "n_chars")
     assert plain(OPERATORS[name](spark, odd).collect()) == plain(OPERATORS[name](spark, bare).collect())
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_bytes_that_are_not_utf8(spark, name):
+    """They count as they are, or as U+FFFD: either way each row gives a row."""
+    docs = spark.createDataFrame([(1, bytearray(b"fine text \xff\xfe here and there, more of it \xc3")), (2, bytearray(b"plain"))], "doc_id long, text binary")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit("en").alias("lang"))
+    assert sorted(r.doc_id for r in OPERATORS[name](spark, docs).collect()) == [1, 2]
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (None, "http://a.com/", None), (1, None, "x"), (2, "", "")], "page_id long, url string, html string")
     odd_pages = pages.select("*", *(F.lit("x").alias(n) for n in ("host", "path", "rule", "verdict")))

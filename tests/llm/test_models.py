@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from pulsegrid.llm import language, suffix_tree_lm, toxicity
-from pulsegrid.llm.common import remainder, table
+from pulsegrid.llm.common import drawn, hash_bound, remainder, table
 
 BIGGER = "/root/testdata/sf0.1"
 
@@ -27,6 +27,25 @@ def test_toxicity_on_held_out_documents(spark):
     assert tp / (tp + fn) > 0.9 and tp / (tp + fp) > 0.97
 
 
+@pytest.mark.parametrize("n", [10, 10**8, 10**9, 13 * 10**8, 10**10, 8 * 10**12])
+def test_the_draw_expects_enough_rows_at_any_count(n):
+    """The part of the hashes' range that passes, times the rows, is what is wanted and half as much again."""
+    for most in (1_200, 8_000):
+        part = (hash_bound(most, n) + (1 << 63)) / (1 << 64)
+        assert min(n, 1.4 * most) <= n * part * 1.000001 <= 1.6 * most + 200 or part > 0.999
+
+
+def test_the_draw_is_bounded_for_null_and_repeated_ids(spark):
+    rows = [(None, f"text {k}", "en") for k in range(300)] + [(7, "same", "en")] * 300 + [(k, "ein text " * (1 + k), "de") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = drawn(df, 40, 100, 10_000, "lang", {"en": 600, "de": 50}).collect()
+    assert sum(r.lang == "en" for r in got) == 40
+    assert 0 < sum(r.lang == "de" for r in got) <= 40 and all(len(r.text) <= 100 for r in got)
+    assert sum(len(r.text) for r in drawn(df, 400, 100, 500).collect()) <= 500
+    labels = spark.createDataFrame([(7, 1), (None, 1), (8, 0), (8, 1)] * 50, "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.sampled_labels(labels, 10).collect())) == [(7, 1), (8, 1)]
+
+
 def test_counterfactual_penalty_quiets_identity_terms():
     """Group mentions that happen to be frequent in toxic texts lose their weight, an insult keeps it."""
     rows = []
