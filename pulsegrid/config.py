@@ -51,7 +51,7 @@ class SensorConfig:
     def __post_init__(self) -> None:
         require(self.sample_rate_hz > 0 and self.natural_freq_hz > 0, "rates must be positive")
         require(self.natural_freq_hz < self.sample_rate_hz / 2, "natural_freq_hz must be below half the sample rate")
-        require(0 < self.zeta < 1, "zeta must lie between 0 and 1")
+        require(self.zeta > 0, "zeta must be positive")
         require(self.force_std >= 0 and self.warmup_s >= 0, "force_std and warmup_s must not be negative")
         require(self.channel in CHANNELS, f"channel must be one of {', '.join(CHANNELS)}")
         require(self.duration_s is None or self.duration_s > 0, "duration_s must be positive")
@@ -77,7 +77,7 @@ class DetectorConfig:
     min_freq_std_hz: float = 0.5
 
     def __post_init__(self) -> None:
-        require(self.calibration_frames >= 1, "calibration_frames must be at least 1")
+        require(self.calibration_frames >= 2, "calibration_frames must be at least 2")
         require(self.k > 0, "k must be positive")
         require(self.min_consecutive >= 1 and self.clear_consecutive >= 1, "debounce lengths must be at least 1")
         require(self.min_rms_std > 0 and self.min_freq_std_hz > 0, "floors must be positive")
@@ -112,7 +112,8 @@ class ProcessorConfig:
 
     def __post_init__(self) -> None:
         require(self.sample_rate_hz > 0 and self.window_s > 0 and self.hop_s > 0, "rates and lengths must be positive")
-        require(self.window_samples >= 4, "a window needs 4 samples at least")
+        require(self.hop_s <= self.window_s, "hop_s must not be longer than window_s")
+        require(self.window_samples >= 8, "a window needs 8 samples at least")
 
     @property
     def window_samples(self) -> int:

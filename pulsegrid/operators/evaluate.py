@@ -59,29 +59,31 @@ def confusion(judged: DataFrame, label: str, by: tuple[str, ...] = ("sensor_id",
     return judged.groupBy(*by).agg(*counts(label)).withColumns(rates())
 
 
-def latency(judged: DataFrame, config: ProcessorConfig, guard_frac: float = 0.5, by: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
+def latencies(config: ProcessorConfig, guard_frac: float = 0.5) -> list[Column]:
     """first_detection_t (the first verdict from the onset on, however late), detection_latency_s, event_detected (a
     verdict from the onset up to one window after the end), latency_reference_s."""
     t, start, end = F.col("t"), F.col("fault_start"), F.col("fault_end")
     seen = F.col("is_anomaly") & (t >= start)
     reference = config.window_s * guard_frac + config.detector.min_consecutive / config.feature_rate_hz
-    found = judged.groupBy(*by).agg(
-        F.min(F.when(seen, t)).alias("first_detection_t"), F.min("fault_start").alias("fault_start"),
-        F.coalesce(F.bool_or(seen & (t < end + config.window_s)), F.lit(False)).alias("event_detected"),
-    )
-    return found.withColumn("detection_latency_s", F.col("first_detection_t") - F.col("fault_start")).withColumn("latency_reference_s", F.lit(reference)).drop("fault_start")
+    return [
+        F.min(F.when(seen, t)).alias("first_detection_t"), F.coalesce(F.bool_or(seen & (t < end + config.window_s)), F.lit(False)).alias("event_detected"),
+        (F.min(F.when(seen, t)) - F.min("fault_start")).alias("detection_latency_s"), F.lit(reference).alias("latency_reference_s"),
+    ]
+
+
+def latency(judged: DataFrame, config: ProcessorConfig, guard_frac: float = 0.5, by: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
+    return judged.groupBy(*by).agg(*latencies(config, guard_frac))
 
 
 def report(judged: DataFrame, config: ProcessorConfig, guard_frac: float = 0.5, by: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
     """One row per sensor: n_frames, raw and windowed counts and rates, latency."""
-    base = judged.groupBy(*by).agg(F.count("*").alias("n_frames"), *counts("point_label", prefix="raw_"), *counts("window_label", prefix="windowed_"))
-    whole = base.withColumns(rates("raw_") | rates("windowed_"))
-    late = latency(judged, config, guard_frac, by)
-    return whole.join(late, list(by))
+    late = latencies(config, guard_frac)
+    base = judged.groupBy(*by).agg(F.count("*").alias("n_frames"), *counts("point_label", prefix="raw_"), *counts("window_label", prefix="windowed_"), *late)
+    return base.withColumns(rates("raw_") | rates("windowed_"))
 
 
 def compare(frames: DataFrame, labels: DataFrame, config: ProcessorConfig, guard_frac: float = 0.5, **detectors) -> DataFrame:
-    """A report for each detector over the same frames: the features are made once and branch."""
+    """A report for each detector over the same frames. They are made anew for each detector unless they are a written or cached table."""
     out = None
     for name, detect in detector_set(**detectors).items():
         judged = labelled(detect(frames), labels, config.window_s, guard_frac)

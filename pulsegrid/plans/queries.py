@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.config import BackoffConfig, DetectorConfig, FaultConfig, ProcessorConfig, SensorConfig
-from pulsegrid.functions.spectrum import dominant_frequency, peak_sql, spectrum_sql, welch
+from pulsegrid.functions.spectrum import dominant_frequency, peak_sql, spectrogram, spectrum_sql, welch
 from pulsegrid.operators import detect, evaluate, frames, retention
 from pulsegrid.plans import sql
 from pulsegrid.sources import csv_replay, drift, events, oscillator
@@ -26,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for files: below the cluster's shared one, or a temporary one on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a folder that driver and executors share in spark.checkpoint.dir")
+        root = tempfile.mkdtemp(prefix="pulsegrid-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -69,6 +73,15 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_replay.replay(spark, path).select(F.col("temperature").cast("long").alias("event_id"), F.round("t", 6).alias("t"), "value")
 
 
+def narrow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay's narrow projection, blank values among the rows; two digits, since a file has text."""
+    path = f"{scratch(spark)}/replay"
+    blank = F.when(F.col("event_id") % 4 == 0, F.lit(" ")).otherwise(F.col("value").cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date_time"), blank.alias("strain"))
+    rows.write.option("sep", ";").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv_replay.narrow(csv_replay.replay(spark, path)).withColumn("t", F.round("t", 6))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("window"))
 
@@ -78,6 +91,11 @@ def power_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.col("bin").cast("long").alias("bin"), F.col("x.frequency_hz").alias("frequency_hz"), F.round("x.density", 8).alias("density"))
 
 
+def density_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spectrogram(samples(spark, sf_dir), sql.N, sql.HOP, sql.RATE).select("sensor_id", "frame_no", F.posexplode("density").alias("bin", "x"))
+    return made.select("sensor_id", "frame_no", F.col("bin").cast("long").alias("bin"), F.col("x.frequency_hz").alias("frequency_hz"), F.round("x.density", 6).alias("density"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.manifest(stats(spark, sf_dir), sql.BATCH, sql.SESSION, F.lit(float(sql.CREATED)), sql.PREFIX)
 
@@ -113,7 +131,7 @@ DEMO = {"demo": SensorConfig(duration_s=15.0, fault=FaultConfig(7.0, 3.0, 0.7, 0
 def oscillator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = ProcessorConfig()
     made = frames.feature_frames(oscillator.oscillators(spark, DEMO), config)
-    return evaluate.report(evaluate.labelled(detect.zscore(made, config.detector), oscillator.labels(spark, DEMO), config.window_s), config)
+    return rounded(evaluate.report(evaluate.labelled(detect.zscore(made, config.detector), oscillator.labels(spark, DEMO), config.window_s), config))
 
 
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +155,12 @@ def sync_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploader = store.FlakyUploader(store.FolderUploader(folder), fail_first_n=1)
     sent = sink.deliver(made, uploader, sql.SESSION, float(sql.CREATED), sql.BATCH, sql.PREFIX, BackoffConfig(base_s=0.01, max_s=0.02, max_attempts=8))
     sent.write.parquet(f"{folder}-sent")
-    return store.audit(made, store.read_frames(spark, folder)).join(spark.read.parquet(f"{folder}-sent").agg(F.count("*").alias("batches"), F.bool_and("delivered").alias("delivered")))
+    return store.audit(made, store.read_frames(spark, folder), sql.SESSION).join(spark.read.parquet(f"{folder}-sent").agg(F.count("*").alias("batches"), F.bool_and("delivered").alias("delivered")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sensor_samples": samples,
+    "replay_narrow": narrow_replay,
     "relative_time": lambda s, d: events.relative_time(table(s, d, "events")).withColumn("t", F.round("t", 6)),
     "sample_rate": lambda s, d: rounded(events.sample_rate(events.relative_time(table(s, d, "events"))), 9),
     "csv_replay": replayed,
@@ -152,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dft_peak": lambda s, d: rounded(peak_sql(spectrum_sql(vectors(s, d), "vec_id", "window", sql.N), "vec_id", sql.N, sql.RATE, interpolate=False)),
     "dft_peak_interp": lambda s, d: rounded(vectors(s, d).select("vec_id", dominant_frequency(F.col("window"), sql.RATE).alias("dominant_freq_hz"))),
     "power_density": power_density,
+    "spectrogram": density_frames,
     "baseline_stats": lambda s, d: rounded(detect.baseline(features(s, d), CONFIG.detector)),
     "zscore_raw": lambda s, d: rounded(detect.zscore_raw(features(s, d), CONFIG.detector).select("sensor_id", "frame_no", "score", "raw")),
     "zscore_debounced": detected("zscore"),

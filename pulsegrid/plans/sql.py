@@ -148,6 +148,20 @@ _KEY = f"'{PREFIX}/sensor_id=' || sensor_id || '/date=2025-07-21/hour=12/part-{S
 _WINDOWED = f"{SAMPLES},\n{ROLLING},\n{WINDOWS}"
 _SIZED = f"{_WINDOWED},\n{_BATCHES},\nsized AS (SELECT sensor_id, batch_seq, frame_count * 100 + batch_seq AS size FROM batches)"
 
+def demonstration() -> str:
+    """The report of the seeded demonstration from its published counts."""
+    out = []
+    for prefix in ("raw", "windowed"):
+        tp, fp, tn, fn = (f"{prefix}_{c}" for c in ("tp", "fp", "tn", "fn"))
+        out += [
+            f"round({tp} / ({tp} + {fp}), 6) AS {prefix}_precision", f"round({tp} / ({tp} + {fn}), 6) AS {prefix}_recall", f"round(2 * {tp} / (2 * {tp} + {fp} + {fn}), 6) AS {prefix}_f1",
+            f"round({fp} / ({fp} + {tn}), 6) AS {prefix}_false_positive_rate", f"{tp} + {fn} AS {prefix}_support_positive", f"{fp} + {tn} AS {prefix}_support_negative",
+        ]
+    cells = ", ".join(f"{n}::BIGINT AS {p}_{c}" for p, some in (("raw", (22, 12, 94, 8)), ("windowed", (29, 5, 101, 1))) for c, n in zip(("tp", "fp", "tn", "fn"), some, strict=True))
+    return f"""SELECT *, {", ".join(out)}, 7.899::DOUBLE AS first_detection_t, true AS event_detected, 0.899::DOUBLE AS detection_latency_s, 1.05::DOUBLE AS latency_reference_s
+FROM (SELECT 'demo' AS sensor_id, 136::BIGINT AS n_frames, {cells})"""
+
+
 ORACLE_SQL = {
     "sensor_samples": f"WITH {SAMPLES} SELECT sensor_id, i, t, value FROM samples",
     "relative_time": "SELECT event_type AS sensor_id, event_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) / 1e6, 6) AS t, value FROM events",
@@ -172,6 +186,15 @@ power AS (
   SELECT vec_id, bin, pow(sum(x * cos(2 * pi() * ((bin * j) % {N}) / {N})), 2) + pow(sum(x * sin(2 * pi() * ((bin * j) % {N}) / {N})), 2) AS p
   FROM tapered, bins GROUP BY ALL)
 SELECT vec_id, bin, bin * {RATE} / {N} AS frequency_hz, round(CASE WHEN bin BETWEEN 1 AND {N // 2 - 1} THEN 2 ELSE 1 END * p / ({RATE} * 0.375 * {N}), 8) AS density FROM power""",
+    "spectrogram": f"""WITH {_WINDOWED},
+points AS (SELECT w.sensor_id, w.frame_no, s.i - (w.i - {N - 1}) AS j, s.value - w.mean AS x FROM windows w JOIN samples s ON s.sensor_id = w.sensor_id AND s.i BETWEEN w.i - {N - 1} AND w.i),
+tapered AS (SELECT sensor_id, frame_no, j, x * (0.5 - 0.5 * cos(2 * pi() * j / {N})) AS x FROM points),
+bins AS (SELECT unnest(range(0, {N // 2 + 1})) AS bin),
+power AS (
+  SELECT sensor_id, frame_no, bin, pow(sum(x * cos(2 * pi() * ((bin * j) % {N}) / {N})), 2) + pow(sum(x * sin(2 * pi() * ((bin * j) % {N}) / {N})), 2) AS p
+  FROM tapered, bins GROUP BY ALL)
+SELECT sensor_id, frame_no, bin, bin * {RATE} / {N} AS frequency_hz, round(CASE WHEN bin BETWEEN 1 AND {N // 2 - 1} THEN 2 ELSE 1 END * p / ({RATE} * 0.375 * {N}), 6) AS density FROM power""",
+    "replay_narrow": """SELECT 'replay' AS sensor_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6, 6) AS t, value FROM events WHERE event_id % 4 <> 0 AND value IS NOT NULL""",
     "baseline_stats": f"WITH {TO_FRAMES}, {BASELINE} SELECT sensor_id, frames, round(rms_mean, 6) AS rms_mean, round(rms_std, 6) AS rms_std, round(freq_mean, 6) AS freq_mean, round(freq_std, 6) AS freq_std FROM base",
     "zscore_raw": f"WITH {TO_FRAMES}, {BASELINE}, {ZSCORE} SELECT sensor_id, frame_no, round(score, 6) AS score, raw FROM zscore",
     "zscore_debounced": detection("zscore", ZSCORE),
@@ -188,4 +211,10 @@ SELECT vec_id, bin, bin * {RATE} / {N} AS frequency_hz, round(CASE WHEN bin BETW
     "retention_bytes": f"WITH {_SIZED} SELECT * FROM sized QUALIFY sum(size) OVER (PARTITION BY sensor_id ORDER BY batch_seq DESC) <= 6000 OR row_number() OVER (PARTITION BY sensor_id ORDER BY batch_seq DESC) = 1",
     "backoff_schedule": "SELECT range AS attempt, least(10.0, 0.5 * pow(2.0, range)) AS delay_s FROM range(0, 12)",
     "clean_nonfinite": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN NULL ELSE value END AS value FROM events",
+    # The published counts of the seeded demonstrations.
+    "drift_tally": """SELECT detector, true AS caught_fault, false_positives::BIGINT AS false_positives, 360::BIGINT AS healthy_frames
+FROM (VALUES ('zscore', 176), ('ewma', 4), ('kalman', 4)) AS t(detector, false_positives)""",
+    "oscillator_report": demonstration(),
+    "sync_audit": f"WITH {_WINDOWED}, {_BATCHES} SELECT (SELECT count(*) FROM windows) AS frames_emitted, (SELECT count(*) FROM windows) AS frames_stored, 0::BIGINT AS missing, (SELECT count(*) FROM batches) AS batches, true AS delivered",
+    "stream_equals_batch": "SELECT event_type AS sensor_id, event_id AS frame_no, true AS is_anomaly, '' AS state, '' AS side FROM events WHERE false",
 }

@@ -70,23 +70,25 @@ class Generator:
         return i, i * self.dt, value
 
 
-def batches(sensor_id: str, config: SensorConfig) -> Iterator[pd.DataFrame]:
+def batches(sensor_id: str, config: SensorConfig, first: int | None = None) -> Iterator[pd.DataFrame]:
     total, source = config.samples, Generator(config)
+    if first is not None:
+        total = first if total is None else min(first, total)
     if total is None:
-        raise ValueError("a batch source needs a duration; an endless sensor is a stream")
+        raise ValueError("a batch source needs a duration or a number of samples; an endless sensor is a stream")
     while source.next < total:
         i, t, value = source.take(min(BATCH, total - source.next))
         yield pd.DataFrame({"sensor_id": sensor_id, "i": i, "t": t, "value": value})
 
 
-def oscillators(spark: SparkSession, sensors: dict[str, SensorConfig]) -> DataFrame:
-    """sensor_id, i, t, value of every sensor, each made by one task."""
+def oscillators(spark: SparkSession, sensors: dict[str, SensorConfig], first: int | None = None) -> DataFrame:
+    """sensor_id, i, t, value of every sensor, each made by one task; with ``first`` so many samples of each at most, of endless sensors too."""
     table = spark.createDataFrame([(name,) for name in sensors], "sensor_id string").repartition(max(1, len(sensors)), "sensor_id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name in part["sensor_id"]:
-                yield from batches(name, sensors[name])
+                yield from batches(name, sensors[name], first)
 
     return table.mapInPandas(run, SCHEMA)
 

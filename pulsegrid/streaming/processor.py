@@ -16,7 +16,7 @@ from pulsegrid.functions.spectrum import dominant_frequencies
 from pulsegrid.operators.detect import Detector, make
 
 FRAMES = "sensor_id string, frame_no long, t double, raw_value double, rms double, mean double, std double, dominant_freq_hz double, is_anomaly boolean, score double, state string"
-STATE = "next_i long, late long, tail array<double>, detector string"
+STATE = "next_i long, used long, late long, tail array<double>, detector string"
 COLUMNS = [c.split()[0] for c in FRAMES.split(", ")]
 
 
@@ -33,31 +33,32 @@ def windows(values: np.ndarray, first: int, config: ProcessorConfig) -> tuple[np
 def process(samples: DataFrame, config: ProcessorConfig, detector: str | Callable[[], Detector] = "zscore") -> DataFrame:
     """Frames of a streaming ``samples`` (sensor_id, i, t, value), in append mode; batch DataFrames work too.
 
-    A micro-batch's samples of a sensor are put in order of ``i``. A sample whose number has passed already can't be
-    used any more; the state counts it in ``late``. State is bounded by the window's length.
+    A micro-batch's samples of a sensor are put in order of ``i``. A sample whose number isn't above the highest one seen
+    can't be used any more; the state counts it in ``late``. Windows count the samples that were used, so a gap in the
+    numbers neither stops nor shortens one. State is bounded by the window's length.
     """
     factory = detector if callable(detector) else (lambda name=detector: make(name, config.detector if name == "zscore" else None))
     keep = config.window_samples - 1
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_i, late, tail, packed = state.get if state.exists else (0, 0, [], None)
+        next_i, used, late, tail, packed = state.get if state.exists else (0, 0, 0, [], None)
         own: Detector = pickle.loads(base64.b64decode(packed)) if packed else factory()
         new = pd.concat(list(parts)).sort_values("i")
         fresh = new[new["i"] >= next_i].drop_duplicates("i")
         late += len(new) - len(fresh)
         if len(fresh):
             values = np.concatenate([np.array(tail, float), fresh["value"].to_numpy(float)])
-            first = next_i - len(tail)
+            first = used - len(tail)
             ends, some = windows(values, first, config)
             if len(ends):
                 freq = dominant_frequencies(some, config.sample_rate_hz, config.detrend, config.interpolate_peak)
                 rms, mean, std = np.sqrt((some * some).mean(axis=1)), some.mean(axis=1), some.std(axis=1)
                 verdicts = [(*own.update(a, b), own.state) for a, b in zip(rms.tolist(), freq.tolist(), strict=True)]
-                at = ends - next_i
+                at = ends - used
                 out = pd.DataFrame({"sensor_id": key[0], "frame_no": (ends - keep) // config.hop_samples, "t": fresh["t"].to_numpy()[at], "raw_value": some[:, -1], "rms": rms, "mean": mean, "std": std, "dominant_freq_hz": freq})
                 yield out.assign(is_anomaly=[v[0] for v in verdicts], score=[v[1] for v in verdicts], state=[v[2] for v in verdicts])[COLUMNS]
-            next_i += len(fresh)
+            next_i, used = int(fresh["i"].iloc[-1]) + 1, used + len(fresh)
             tail = values[len(values) - min(keep, len(values)) :].tolist()
-        state.update((next_i, late, tail, base64.b64encode(pickle.dumps(own)).decode()))
+        state.update((next_i, used, late, tail, base64.b64encode(pickle.dumps(own)).decode()))
 
     return samples.groupBy("sensor_id").applyInPandasWithState(run, FRAMES, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.config import BackoffConfig
@@ -18,9 +19,10 @@ def committer(uploader: Uploader, session_id: str, started_at_utc: float, batch_
     def commit(frames: DataFrame, batch_id: int) -> None:
         # the session's start and the batch's number make the key, neither of which a retry changes
         sent = deliver(frames, uploader, f"{session_id}-{batch_id:06d}", started_at_utc, batch_frames, prefix, config)
-        lost = [r.key for r in sent.collect() if not r.delivered]
-        if lost:
-            raise RuntimeError(f"{len(lost)} batches could not be delivered, the first is {lost[0]}")
+        lost = F.when(~F.col("delivered"), F.col("key"))
+        n, first = sent.agg(F.count(lost), F.min(lost)).first()
+        if n:
+            raise RuntimeError(f"{n} batches could not be delivered, the first is {first}")
 
     return commit
 

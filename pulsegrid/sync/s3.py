@@ -48,6 +48,11 @@ def listed(of, config: S3Config) -> Iterator[tuple[str, int]]:
             yield entry["Key"], entry["Size"]
 
 
+def fetched(of, config: S3Config, key: str) -> bytes:
+    """A batch as it was stored, still compressed (see ``codec.deserialize``)."""
+    return of.get_object(Bucket=config.bucket, Key=key)["Body"].read()
+
+
 class S3Uploader:
     """Connects where it is used: a task gets the settings, not the connection."""
 
@@ -61,7 +66,7 @@ class S3Uploader:
         if self.connection is None:
             self.connection = client(self.config)
         try:
-            self.connection.put_object(Bucket=self.config.bucket, Key=key, Body=data)
+            self.connection.put_object(Bucket=self.config.bucket, Key=key, Body=data, ContentType="application/x-ndjson", ContentEncoding="gzip")
         except Exception as e:
             raise kind_of(e)(str(e)) from e
 

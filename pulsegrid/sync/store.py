@@ -60,7 +60,7 @@ class FolderUploader:
 
 
 class FlakyUploader:
-    """Fails the first so many attempts, then as a pattern says, then at random; for tests."""
+    """Fails the first so many attempts, then as a pattern says, over and over, or at random where there is none; for tests."""
 
     def __init__(self, inner: Uploader, fail_first_n: int = 0, pattern: Sequence[bool] | None = None, fail_prob: float = 0.0, rng: random.Random | None = None) -> None:
         self.inner, self.first, self.pattern, self.share = inner, fail_first_n, list(pattern or ()), fail_prob
@@ -71,7 +71,7 @@ class FlakyUploader:
         k = self.attempts
         self.attempts += 1
         later = k - self.first
-        fails = k < self.first or (self.pattern[later] if later < len(self.pattern) else self.rng.random() < self.share)
+        fails = k < self.first or (self.pattern[later % len(self.pattern)] if self.pattern else self.rng.random() < self.share)
         if fails:
             raise TransientUploadError(f"attempt {k} was made to fail")
         self.inner.upload(key, data)
@@ -99,6 +99,8 @@ class Spool:
     END, PART = ".blob", ".tmp"
 
     def __init__(self, folder: str, fsync: bool = True, max_bytes: int | None = None, max_files: int | None = None) -> None:
+        if any(cap is not None and cap < 1 for cap in (max_bytes, max_files)):
+            raise ValueError("caps must be positive")
         self.folder, self.fsync, self.max_bytes, self.max_files = folder, fsync, max_bytes, max_files
         self.lock = threading.RLock()
         self.dropped_batches = 0
@@ -188,8 +190,11 @@ def read_frames(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumns(parts | more).where("type is null").drop("type")
 
 
-def audit(emitted: DataFrame, kept: DataFrame) -> DataFrame:
-    """frames_emitted, frames_stored, missing: emitted frames, by sensor and time, that no stored batch holds."""
+def audit(emitted: DataFrame, kept: DataFrame, session_id: str | None = None) -> DataFrame:
+    """frames_emitted, frames_stored, missing: emitted frames, by sensor and time, that no stored batch holds. With
+    ``session_id`` only that session's batches are looked at: a folder may hold earlier ones."""
+    if session_id is not None:
+        kept = kept.where(F.col("session_id") == session_id)
     key = ["sensor_id", "t"]
     missing = emitted.select(*key).exceptAll(kept.select(*key))
     counted = (df.agg(F.count("*").alias(name)) for df, name in ((emitted, "frames_emitted"), (kept, "frames_stored"), (missing, "missing")))

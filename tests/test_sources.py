@@ -60,13 +60,18 @@ def test_oscillators_and_labels(spark):
 
 @pytest.mark.parametrize(
     "wrong",
-    [{"zeta": 0}, {"zeta": 1}, {"natural_freq_hz": 600}, {"channel": "sound"}, {"duration_s": 0}, {"force_std": -1}, {"sample_rate_hz": 0}],
+    [{"zeta": 0}, {"zeta": -1}, {"natural_freq_hz": 600}, {"channel": "sound"}, {"duration_s": 0}, {"force_std": -1}, {"sample_rate_hz": 0}],
 )
 def test_wrong_settings_are_refused(wrong):
     with pytest.raises(ValueError):
         SensorConfig(**wrong)
 
 
+def test_overdamped_sensors_are_sensors(spark):
+    values = [r.value for r in oscillator.oscillators(spark, {"o": SensorConfig(duration_s=0.2, zeta=1.2)}).collect()]
+    assert len(values) == 200 and np.isfinite(values).all()
+
+
 def test_replay(spark, tmp_path):
     lines = ["date_time;strain;temperature", "2024-01-01 00:00:00.000;;1", "2024-01-01 00:00:00.010;1500.5;31.5", "2024-01-01 00:00:00.015;   ;", "2024-01-01 00:00:00.021;1501;", "2024-01-01 00:00:00.032;1502;  "]
     (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
@@ -94,7 +99,13 @@ def test_unusable_events_are_left_out(spark):
     assert [(r.i, r.value) for r in events.samples(df).orderBy("i").collect()] == [(0, 1.0), (1, 2.0)]
 
 
-def test_drift_rows_are_seeded():
-    rows = drift.drift_rows()
-    assert rows == drift.drift_rows() and sum(r[3] for r in rows) == 40 and [r[0] for r in rows if r[3]][0] == 260
-    assert rows[-1][2] == pytest.approx(55, abs=1)
+def test_first_samples_of_an_endless_sensor(spark):
+    some = oscillator.oscillators(spark, {"a": SensorConfig(duration_s=None, seed=3)}, first=70).orderBy("i").collect()
+    whole = oscillator.oscillators(spark, {"a": SensorConfig(duration_s=0.1, seed=3)}).orderBy("i").collect()
+    assert some == whole[:70]
+
+
+def test_drift_rows_are_seeded(spark):
+    rows = drift.drift_features(spark).orderBy("frame_no").collect()
+    assert rows == drift.drift_features(spark).orderBy("frame_no").collect() and sum(r.faulty for r in rows) == 40 and [r.frame_no for r in rows if r.faulty][0] == 260
+    assert rows[-1].dominant_freq_hz == pytest.approx(55, abs=1)

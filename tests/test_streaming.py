@@ -42,6 +42,16 @@ def test_late_samples_are_not_used(spark, tmp_path):
     assert sorted(r.frame_no for r in got.collect()) == [r.frame_no for r in frames.window_stats(whole, CONFIG).orderBy("frame_no").collect()]
 
 
+def test_a_gap_is_passed_once(spark, tmp_path):
+    """After a gap in the numbers a repeat of what was used already is late, and the windows count used samples."""
+    whole = samples(spark, 200)
+    parts = [whole.where("i < 100"), whole.where("i >= 150"), whole.where("i >= 150"), whole.where("i >= 90 and i < 120")]
+    got = streamed(spark, tmp_path, parts).collect()
+    used = [k for k in range(200) if k < 100 or k >= 150]
+    ends = range(CONFIG.window_samples - 1, len(used), CONFIG.hop_samples)
+    assert sorted((r.frame_no, round(r.t, 6)) for r in got) == [(n, used[e] / 100.0) for n, e in enumerate(ends)]
+
+
 @pytest.mark.parametrize("name", ["ewma", "kalman"])
 def test_adaptive_detectors_in_a_stream(spark, tmp_path, name):
     whole = samples(spark)

@@ -53,6 +53,22 @@ def test_failures_by_status():
     assert [store.failure(s) for s in (200, 404, 429, 503, None)] == [None, store.PermanentUploadError, store.TransientUploadError, store.TransientUploadError, store.TransientUploadError]
 
 
+def test_the_pattern_of_failures_goes_round():
+    flaky, failed = store.FlakyUploader(store.MemoryUploader(), pattern=[False, True, False]), []
+    for k in range(9):
+        try:
+            flaky.upload(str(k), b"x")
+        except store.TransientUploadError:
+            failed.append(k)
+    assert failed == [1, 4, 7]
+
+
+def test_caps_must_be_positive(tmp_path):
+    for caps in ({"max_files": 0}, {"max_bytes": -1}):
+        with pytest.raises(ValueError, match="caps"):
+            store.Spool(str(tmp_path), **caps)
+
+
 def test_flaky_uploader():
     inner = store.MemoryUploader()
     flaky = store.FlakyUploader(inner, fail_first_n=1, pattern=[False, True, False])
