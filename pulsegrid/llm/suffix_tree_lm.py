@@ -1,15 +1,17 @@
 """Text scores from a probabilistic suffix tree over words.
 
-The alphabet is every word with at least ``symbol_share`` of the training tokens, the end of a text, and one symbol for
-all rarer words. A context is a run of symbols with at least ``context_share`` of the tokens. It stays in the tree if
+The alphabet is every word that occurs often enough in the training tokens, the end of a text, and one symbol for
+all rarer words. A context is a run of symbols that occurs often enough. It stays in the tree if
 its next-symbol distribution diverges from its suffix's by more than chance (a likelihood-ratio test), and then so do
 its suffixes. A state gives the probability of a next symbol from its own discounted counts and, with the mass left,
 from its suffix; a rarer word shares its symbol's probability by its add-one unigram probability. So each state's
 distribution sums to one over all words, unseen ones included.
 
-Shares bound everything that is held in one place: at most 1/share symbols, contexts, counted successors and frequent
-words, however large the corpus is. Words too rare for that meet their counts in a join on the word, once per text and
-word. Hot words never reach that join: they are exactly the ones in the bounded table.
+Often enough grows with the square root of the tokens, N (a share of them in a small corpus). So the alphabet, the
+states and their counted successors grow with the corpus, and what is held in one place has a proven bound: at most
+sqrt(N) / root contexts a depth, and as many successors. Words outside the table of frequent words (at most
+1 / ``frequent_share``, so many symbols too) meet their counts in a join on the word, once per text and word. Hot words
+never reach that join: they are exactly the ones in the table.
 """
 
 from __future__ import annotations
@@ -33,15 +35,22 @@ FLUSH = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    symbol_share: float = 5e-4
-    context_share: float = 2e-4
-    entry_share: float = 1e-5
+    """An occurrence counts as often enough from the lesser of share * N and root * sqrt(N) on: (share, root)."""
+
+    symbol: tuple[float, float] = (5e-4, 0.3)
+    context: tuple[float, float] = (2e-4, 0.12)
+    entry: tuple[float, float] = (1e-5, 0.05)
     frequent_share: float = 2e-6
     frequent_bytes: int = 48  # longer words always take the join
     depth: int = 2
     discount: float = 0.5
 
 
+def often(limits: tuple[float, float], total: int) -> float:
+    share, root = limits
+    return min(share * total, root * math.sqrt(total))
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # on bytes: A-Z only, ASCII white space only
 
@@ -192,26 +201,27 @@ def train(documents: DataFrame, settings: Settings | None = None) -> tuple[Tree,
     table_ = sorted((-r.c, bytes(r.word)) for r in counts.where(short).collect())
     tree.frequent = {w: k for k, (_, w) in enumerate(table_)}
     tree.frequent_count = np.array([-c for c, _ in table_], np.int64)
-    n = int((tree.frequent_count >= settings.symbol_share * tree.total).sum())
+    n = int((tree.frequent_count >= often(settings.symbol, tree.total)).sum())
     tree.symbol = np.where(np.arange(len(table_)) < n, np.arange(len(table_)) + 2, RARE)
     tree.size = n + 2
     named = 10 ** tree.log_base(np.concatenate([[ends], tree.frequent_count[:n]]))
     tree.unigram = np.concatenate([named[:1], [max(1 - named.sum(), 1 / (tree.total + tree.distinct + 1))], named[1:]])
     occurs = np.concatenate([[ends], [words - tree.frequent_count[:n].sum()], tree.frequent_count[:n]])
-    contexts = {k: int(c) for k, c in enumerate(occurs) if c >= settings.context_share * tree.total}
+    contexts = {k: int(c) for k, c in enumerate(occurs) if c >= often(settings.context, tree.total)}
     kept: list[dict[int, list[tuple[int, int]]]] = []
     context_counts: list[dict[int, int]] = []
     for depth in range(1, settings.depth + 1):
         if not contexts:
             break
         known = np.array(sorted(contexts), np.int64)
-        found = successor_counts(documents, tree, known, depth).where(F.col("c") >= settings.entry_share * tree.total).collect()
+        found = successor_counts(documents, tree, known, depth).where(F.col("c") >= often(settings.entry, tree.total)).toArrow()
         after: dict[int, list[tuple[int, int]]] = {}
-        for r in found:
-            after.setdefault(r.key // tree.size, []).append((r.key % tree.size, r.c))
+        pairs = list(zip(found.column("key").to_pylist(), found.column("c").to_pylist(), strict=True))
+        for key, c in pairs:
+            after.setdefault(key // tree.size, []).append((key % tree.size, c))
         kept.append(after)
         context_counts.append(contexts)
-        contexts = {r.key: r.c for r in found if r.key % tree.size != END and r.c >= settings.context_share * tree.total}
+        contexts = {key: c for key, c in pairs if key % tree.size != END and c >= often(settings.context, tree.total)}
     tree.levels = grow(tree, context_counts, kept, settings)
     return tree, counts
 
@@ -253,7 +263,7 @@ def score(documents: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, base_score, score (log10 probability of the text and its end).
 
     Null text counts as empty: its end alone is scored. Rows are told apart by a number of their own, so repeated rows
-    give equal rows; other columns are ignored; an empty table gives none.
+    give equal rows (but for the last digit of sums of floats); other columns are ignored; an empty table gives none.
     """
     held = documents.sparkSession.sparkContext.broadcast(tree)
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"

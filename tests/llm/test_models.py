@@ -114,6 +114,81 @@ def test_base_scores_are_exact(spark, sf):
     assert better > total  # contexts help on texts that weren't seen
 
 
+def test_the_tree_grows_with_the_corpus(spark):
+    small, large = (suffix_tree_lm.train(table(spark, folder, "documents").where(remainder(7) != 2))[0] for folder in ("/root/testdata/sf0.01", BIGGER))
+    print([(t.total, t.size, [(len(v.codes), len(v.entries)) for v in t.levels]) for t in (small, large)])
+    assert large.total > 5 * small.total and large.size > 1.5 * small.size
+    for a, b in zip(small.levels, large.levels, strict=True):
+        assert len(b.codes) > 1.5 * len(a.codes) and len(b.entries) > 1.5 * len(a.entries)
+        assert len(b.codes) <= math.sqrt(large.total) / suffix_tree_lm.Settings().context[1]
+
+
+def plain_tree(texts, settings):
+    """The tree of a corpus counted and tested without vectors: {depth: {context: ({symbol: share}, rest)}}, contexts as tuples."""
+    tokens = [[*t.lower().split(), None] for t in texts]
+    total = sum(map(len, tokens))
+    words = Counter(w for t in tokens for w in t)
+    named = {w for w, c in words.items() if w is not None and c >= suffix_tree_lm.often(settings.symbol, total)}
+    lines = [["$" if w is None else w if w in named else "?" for w in t] for t in tokens]
+    unit = {w: (words[w] + 1) / (total + len(words) + 1) for w in named} | {"$": (words[None] + 1) / (total + len(words) + 1)}
+    unit["?"] = max(1 - sum(unit.values()), 1 / (total + len(words) + 1))
+    context, entry = suffix_tree_lm.often(settings.context, total), suffix_tree_lm.often(settings.entry, total)
+    count = {(s,): c for s, c in Counter(s for line in lines for s in line).items() if c >= context}
+    states, stays = {}, set()
+
+    def probability(code, s):
+        if not code:
+            return unit[s]
+        lower = probability(code[1:], s)
+        return states[code][0].get(s, 0.0) + states[code][1] * lower if code in states else lower
+
+    for depth in range(1, settings.depth + 1):
+        after = Counter()
+        for line in lines:
+            padded = ["$", *line]
+            for k in range(depth, len(padded)):
+                after[(*padded[k - depth : k], padded[k])] += 1
+        after = {k: c for k, c in after.items() if k[:-1] in count and c >= entry}
+        found = {}
+        for code, c in count.items():
+            own = {k[-1]: (a - settings.discount) / c for k, a in after.items() if k[:-1] == code}
+            if own:
+                order = sorted(own)
+                if suffix_tree_lm.diverges(c, np.array([own[s] for s in order]), np.array([probability(code[1:], s) for s in order])):
+                    stays.add(code)
+                found[code] = (own, 1 - sum(own.values()))
+        states |= found
+        count = {k: c for k, c in after.items() if k[-1] != "$" and c >= context}
+    stays |= {code[1:] for code in stays if len(code) > 1} & states.keys()
+    return {code: states[code] for code in stays}
+
+
+def test_the_tree_against_a_plain_one(spark):
+    """Which contexts stay, and their shares, on a drawn corpus whose words follow each other by rule now and then."""
+    import random
+
+    draw, texts = random.Random(3), []
+    for _ in range(300):
+        words = []
+        for _ in range(draw.randint(0, 40)):
+            words.append({"a": "b", "b": "c"}.get(words[-1] if words else "", "d") if draw.random() < 0.6 else draw.choice("abcdefgh"))
+            if len(words) > 2 and words[-3:-1] == ["a", "d"]:
+                words[-1] = "e"
+        texts.append(" ".join(words))
+    settings = suffix_tree_lm.Settings(symbol=(0.02, 1e9), context=(0.01, 1e9), entry=(1e-3, 1e9))
+    tree, _ = suffix_tree_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings)
+    want = plain_tree(texts, settings)
+    name = {0: "$", 1: "?"} | {int(tree.symbol[k]): w.decode() for w, k in tree.frequent.items() if tree.symbol[k] > 1}
+    got = {}
+    for depth, level in enumerate(tree.levels, 1):
+        for code, rest in zip(level.codes.tolist(), level.rest.tolist(), strict=True):
+            own = {name[k % tree.size]: p for k, p in zip(level.entries.tolist(), level.shares.tolist(), strict=True) if k // tree.size == code}
+            got[tuple(name[code // tree.size**j % tree.size] for j in range(depth - 1, -1, -1))] = (own, rest)
+    assert got.keys() == want.keys() and any(len(c) == 2 for c in got)
+    for code, (own, rest) in want.items():
+        assert got[code][0] == pytest.approx(own) and got[code][1] == pytest.approx(rest)
+
+
 def test_every_state_is_a_distribution(lm):
     tree, _ = lm
     for before in ([], [0], [2, 3], [1, 1], [5], [0, 2]):
