@@ -36,9 +36,16 @@ def relative_time(events: DataFrame, key: str = "event_type") -> DataFrame:
     return joined.select(F.col(key).cast("string").alias("sensor_id"), "event_id", (F.timestamp_diff("MICROSECOND", F.col("first"), F.col("ts")) / 1e6).alias("t"), "value")
 
 
-def sample_rate(timed: DataFrame) -> DataFrame:
-    """sensor_id, sample_rate_hz: one over the median of the positive steps of ``t``; null where there is none."""
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("sensor_id").orderBy("t"))
-    steps = timed.select("sensor_id", step.alias("step"))
+def sample_rate(timed: DataFrame, bucket_s: int = 86_400) -> DataFrame:
+    """sensor_id, sample_rate_hz: one over the median of the positive steps of ``t``; null where there is none.
+
+    Steps are taken within time buckets, so a sensor's samples aren't sorted in one place; the step from one bucket to
+    the next comes from the buckets' first and last times.
+    """
+    bucketed = timed.select("sensor_id", "t", F.floor(F.col("t") / bucket_s).alias("bucket"))
+    inside = F.col("t") - F.lag("t").over(Window.partitionBy("sensor_id", "bucket").orderBy("t"))
+    ends = bucketed.groupBy("sensor_id", "bucket").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    across = F.col("first") - F.lag("last").over(Window.partitionBy("sensor_id").orderBy("bucket"))
+    steps = bucketed.select("sensor_id", inside.alias("step")).unionByName(ends.select("sensor_id", across.alias("step")))
     median = F.median(F.when(F.col("step") > 0, F.col("step")))
     return steps.groupBy("sensor_id").agg((1.0 / median).alias("sample_rate_hz"))

@@ -109,3 +109,13 @@ def test_drift_rows_are_seeded(spark):
     rows = drift.drift_features(spark).orderBy("frame_no").collect()
     assert rows == drift.drift_features(spark).orderBy("frame_no").collect() and sum(r.faulty for r in rows) == 40 and [r.frame_no for r in rows if r.faulty][0] == 260
     assert rows[-1].dominant_freq_hz == pytest.approx(55, abs=1)
+
+
+def test_sample_rate_spans_time_buckets(spark):
+    """Steps within and between buckets are the ones of the whole sorted series, whatever the buckets' size."""
+    times = {"a": [0.0, 0.5, 0.5, 1.0, 7.0, 7.5, 30.0, 31.0], "b": [3.0, 3.0], "c": [2.0, 12.0, 22.0, 23.0]}
+    rows = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts] + [("d", None)], "sensor_id string, t double")
+    want = {k: 1 / float(np.median([x for x in np.diff(ts) if x > 0])) for k, ts in times.items() if k != "b"} | {"b": None, "d": None}
+    for bucket in (1, 10, 86_400):
+        got = {r.sensor_id: r.sample_rate_hz for r in events.sample_rate(rows, bucket).collect()}
+        assert got == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
