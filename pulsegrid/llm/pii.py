@@ -29,20 +29,26 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-NAME = r"(?<![\p{L}])\p{Lu}\p{Ll}{1,20}\x20\p{Lu}\p{Ll}{1,20}(?![\p{L}])"
 
 GIVEN_NAMES = (
     "james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "elizabeth", "william", "susan",
     "thomas", "sarah", "daniel", "karen", "anna", "peter", "hans", "maria", "jose", "carlos", "luis", "sofia", "pierre",
     "marie", "jean", "claire", "lukas", "julia",
 )
+TITLES = r"\b(?:mr|mrs|ms|dr|prof|herr|frau|señor|madame|monsieur|name|dear)\b"
+#: Two capitalised words, the first a given name or up to nine characters after a title, but no title itself. A capitalised
+#: word before a name isn't part of a match, so it can't use the name up.
+NAME = (
+    rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(n.capitalize() for n in GIVEN_NAMES)})|(?<=(?iu:{TITLES})[^\n]{{1,9}})(?!(?iu:{TITLES}))\p{{Lu}}\p{{Ll}}{{1,20}})"
+    r"\x20\p{Lu}\p{Ll}{1,20}(?!\p{L})"
+)
 MAIL_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl")
 COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
 CUES = {
     "email": r"mail|contact|write|reach", "ip": r"\bip\b|address|host|server|login", "card": r"card|visa|payment|credit|debit",
     "phone": r"tel|phone|call|mobile|fax|ruf", "national": r"\bssn\b|social|security|tax|insurance",
     "account": r"iban|account|bank|konto|transfer|cuenta|compte", "local_phone": r"tel|phone|call|mobile|fax|ruf",
-    "name": r"\b(?:mr|mrs|ms|dr|prof|herr|frau|señor|madame|monsieur|name|dear)\b",
+    "name": TITLES,
 }
 AGAINST = r"version|order|isbn|issn|figure|section|example|chapter|invoice|serial|ticket|release|v\."
 CONTEXT = 40
@@ -135,7 +141,7 @@ KINDS = [
     kind_of("national", NATIONAL, has(r"[0-9]-[0-9]{2}-[0-9]")),
     kind_of("account", ACCOUNT, has(r"[A-Z]{2}[0-9]{2}")),
     kind_of("local_phone", LOCAL_PHONE, has(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")),
-    kind_of("name", NAME, has(GIVEN_GUARD), lambda b, m: listed(F.regexp_extract(m, r"^(\p{L}+)", 1), GIVEN_NAMES) | F.lower(F.right(b, F.lit(12))).rlike(CUES["name"])),
+    kind_of("name", NAME, has(GIVEN_GUARD)),
 ]
 NAMES = [k.name for k in KINDS]
 BASE = 4

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import pii, secret_scan
 from pulsegrid.llm.common import table
+from pulsegrid.llm.spans import located
 
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -209,3 +210,11 @@ def test_context_decides_on_weak_kinds(spark):
     found = pii.scan(frame(spark, texts)).collect()
     names = {r.doc_id: [pii.NAMES[s.kind] for s in r.found] for r in found}
     assert all(names[k] == ["local_phone"] for k in range(40)) and all(names[k] == [] for k in range(40, 80))
+
+
+def test_a_capitalised_word_does_not_use_a_name_up(spark):
+    texts = ["Contact Maria Lopez now", "Yesterday Daniel Brown left", "Mr John Smith", "Dear Mr Walter Kline", "Blue House and Red Tree by Anna Bell", "Annas Bell", "name is Walter Kline", "Dr. Émile Zola"]
+    want = ["Maria Lopez", "Daniel Brown", "John Smith", "Walter Kline", "Anna Bell", None, "Walter Kline", "Émile Zola"]
+    rows = located(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [pii.KINDS[pii.NAMES.index("name")]], [*pii.LABELERS, "long", "digital"])
+    got = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in rows.where("kind is not null").collect()}
+    assert [got.get(k) for k in range(len(texts))] == want
