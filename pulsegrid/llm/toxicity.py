@@ -3,8 +3,8 @@
 A text's score is logistic in the sum, over its different words, of what each word and its first four to six letters
 weigh. Training adds two penalties to the logistic loss: an absolute one, which leaves few weights, and a
 counterfactual one. For the latter each labelled sentence that names a group is copied with the group swapped for
-another of the same kind, and the squared change of the score is charged, so that a neutral mention of a group can't
-carry the verdict.
+another of the same kind, and the squared change of the sum is charged, so that a neutral mention of a group can't
+carry the verdict. The rest of the sentence cancels out of that change: only the two terms' words are left in it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_li
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
 PREFIXES = (4, 5, 6)
-#: Terms that name a group; those of one tuple can stand for each other in a sentence.
+#: Terms that name a group, in four languages; those of one tuple can stand for each other in a sentence.
 IDENTITY = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics"),
@@ -33,6 +34,21 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual"),
     ("woman", "man"), ("women", "men"), ("girl", "boy"), ("female", "male"),
     ("deaf", "blind", "disabled", "autistic"), ("immigrant", "refugee", "native"), ("old", "young", "elderly"),
+    # German
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("deutsche", "türken", "araber", "afrikaner", "asiaten", "europäer"), ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("taub", "blind", "behindert"), ("einwanderer", "flüchtling"),
+    # French
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"), ("gai", "lesbienne", "bisexuel", "hétérosexuel"),
+    ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("sourd", "aveugle", "handicapé"), ("immigré", "réfugié"),
+    # Spanish
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"), ("gay", "lesbiana", "bisexual", "heterosexual"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"), ("sordo", "ciego", "discapacitado"), ("inmigrante", "refugiado"),
 )
 MEMO_WORDS = 250_000
 
@@ -63,9 +79,19 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+@cache
+def counterparts(identity: tuple[tuple[str, ...], ...]) -> dict[str, tuple[str, ...]]:
+    """What can stand in each term's place. A term of several tuples has the others of all of them, each once."""
+    found: dict[str, dict[str, None]] = {}
+    for group in identity:
+        for term in group:
+            found.setdefault(term, {}).update(dict.fromkeys(o for o in group if o != term))
+    return {term: tuple(others) for term, others in found.items()}
+
+
 def swaps(text: str, identity: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
     """(term, the one put in its place) for every labelled sentence's counterfactual copies."""
-    others = {t: [o for o in group if o != t] for group in identity for t in group}
+    others = counterparts(identity)
     return [(w, o) for sentence in SENTENCE_END.split(text) for w in dict.fromkeys(words_of(sentence)) for o in others.get(w, ())]
 
 

@@ -1,6 +1,7 @@
 """Classifiers and the language model: held-out figures, and properties that hold exactly."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -60,6 +61,36 @@ def test_counterfactual_penalty_quiets_identity_terms():
     assert with_.score("a muslim moron") > 0.5 > with_.score("the muslim neighbour is here")
 
 
+def test_the_fit_is_a_minimum_of_the_written_out_objective():
+    """The penalised loss, summed up term by term in plain Python, is no lower anywhere near the fitted weights."""
+    rng = random.Random(3)
+    texts = [(sorted({rng.choice(["muslim", "christian", "hindu", "moron", "fool", "house", "tree", "walk"]) for _ in range(4)}), rng.random()) for _ in range(60)]
+    rows = [(w, int(("moron" in w or "fool" in w) == (x < 0.9)), toxicity.swaps(" ".join(w), toxicity.IDENTITY)) for w, x in texts]
+    settings = toxicity.Settings(counterfactual=0.5, steps=3000)
+    model = toxicity.fit(rows, settings)
+    cost = [settings.miss_cost if y else 1.0 for _, y, _ in rows]
+    pairs = [p for _, _, swapped in rows for p in swapped]
+
+    def objective(weights, bias):
+        word = lambda w: sum(weights.get(f, 0.0) for f in toxicity.features_of(w))
+        loss = sum(c * math.log1p(math.exp(-(2 * y - 1) * (bias + sum(map(word, words))))) for c, (words, y, _) in zip(cost, rows)) / sum(cost)
+        size = sum(settings.absolute * abs(v) + settings.square / 2 * v * v for v in weights.values())
+        return loss + size + settings.counterfactual * sum((word(a) - word(b)) ** 2 for a, b in pairs) / len(pairs)
+
+    least = objective(model.weights, model.bias)
+    seen = {f for words, _, _ in rows for w in words for f in toxicity.features_of(w)}
+    for step in (0.05, -0.05):
+        assert objective(model.weights, model.bias + step) > least - 1e-5
+        for f in seen:
+            assert objective({**model.weights, f: model.weights.get(f, 0.0) + step}, model.bias) > least - 1e-5
+
+
+def test_terms_of_several_groups_and_languages_swap_once_each():
+    got = toxicity.swaps("Ein Muslim kam.", toxicity.IDENTITY)
+    assert len(got) == len(set(got)) and {("muslim", "christian"), ("muslim", "katholik")} <= set(got)
+    assert ("mujer", "hombre") in toxicity.swaps("La mujer habla.", toxicity.IDENTITY)
+
+
 def test_swaps_are_made_by_sentence():
     got = toxicity.swaps("A woman spoke. The woman left!\nNobody came.", (("woman", "man"),))
     assert got == [("woman", "man"), ("woman", "man")]
