@@ -2,10 +2,14 @@
 
 Two sets that similar share a shingle among the first of each in any one order (prefix filter). The order is by hash,
 with shingles that a sample of the texts repeats put last: it makes fewer candidates and loses none. Texts that share
-a first shingle form a group. A group isn't compared pair by pair: its members of about one size are held against the
-smallest of them, the links found so far are followed, and only members that are still in different components are
-compared with each other. So a large group of near copies costs its size, not its square, and no pair is left out
-whose link would change a component.
+a first shingle form a group. A group isn't compared pair by pair: its members are held against pivots, for each step of
+size one that the others may have been made from, the links found so far are followed, and only members that are still
+in different components are compared with each other. No pair is left out whose link would change a component.
+
+A shingle's place in the order bounds a pair as well (positional filter): if it is the first that two sets share, they
+share no more than what each has from there on. So a member can't meet larger sets than that bound lets it, and one
+that can't even meet its group's smallest set leaves the group. That is what happens to the copies in a large group
+which are changed too much to be near any other: they are left out in time linear in them.
 
 A pair goes through three tests, each on fewer pairs than the one before: the sizes, a sketch of the sets' parities,
 and the sets themselves, made anew from the two texts.
@@ -96,10 +100,10 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """h, key, n, salt: the first shingles of every text and its number of shingles. A task gives a text's only once, as
-    long as it can remember it. ``salt`` is null but for hot shingles."""
+    """h, key, n, pos, salt: the first shingles of every text, its number of shingles and their places. A task gives a
+    text's only once, as long as it can remember it. ``salt`` is null but for hot shingles."""
     held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    schema = "h long, key long, n int, salt long"
+    schema = "h long, key long, n int, pos int, salt long"
     target = arrow_schema(schema)
 
     def run(batches):
@@ -118,46 +122,73 @@ def prefixes(texts: DataFrame, similarity: float, width: int) -> DataFrame:
                     sizes.append(len(found))
             each = [len(f) for f in first[1:]]
             h, key = np.concatenate(first), np.repeat(np.array(keys, np.int64), each)
+            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in each)])
             many = np.zeros(len(h), bool)
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 many = (common[at] == h) & hot[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(key, mask=~many)], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place), pa.array(key, mask=~many)], schema=target)
 
     return texts.mapInArrow(run, schema)
 
 
 def groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The written table h, key, n of texts that share a first shingle with a different text."""
+    """The written table h, key, n, pos of texts that share a first shingle with a different text."""
     rows = prefixes(texts, similarity, width)
     same = Window.partitionBy("h", "salt")
     met = rows.withColumns({"__low": F.min("key").over(same), "__high": F.max("key").over(same)})
-    return stored(met.where(F.col("salt").isNotNull() | (F.col("__low") != F.col("__high"))).select("h", "key", "n").distinct())
+    return stored(met.where(F.col("salt").isNotNull() | (F.col("__low") != F.col("__high"))).select("h", "key", "n", "pos").distinct())
 
 
-def fits(a: str, b: str, similarity: float):
-    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+def largest(similarity: float):
+    """The size of the largest set that a set of ``n`` can be that similar to, if they share nothing before ``pos``."""
+    return (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
 
 
-def to_smallest(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of each member of a group and the smallest of those about its size."""
-    sized = met.withColumn("level", F.floor(F.log("n") / -math.log(similarity)))
-    least = sized.groupBy("h", "level").agg(F.min(F.struct("n", "key")).alias("p"))
-    star = sized.join(least, ["h", "level"]).select("key", F.col("p.key").alias("other"), "n", F.col("p.n").alias("size"))
-    return star.where((F.col("key") != F.col("other")) & fits("n", "size", similarity)).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+def fits(a: str, b: str, similarity: float):
+    """Whether the sizes of two sets and what each can meet (columns named like the sizes, and ``upto``) allow it."""
+    near = F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+    return near & (F.col(a) <= F.col(b.replace("n", "upto"))) & (F.col(b) <= F.col(a.replace("n", "upto")))
 
 
-def across(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one group that are in different components by ``roots`` (key, root).
+def weighed(met: DataFrame, similarity: float) -> DataFrame:
+    """``met`` without members that can meet no size in their group; with ``upto``, the largest they can, and ``weight``: how often others have a text's first shingles. What an edited copy changed is rare and
+    stands first in it, so of a group of near copies the one that the others were made from weighs most."""
+    times = met.groupBy("h").agg(F.count("*").alias("times"), F.min("n").alias("least"))
+    counted = stored(met.join(times, "h").withColumn("upto", largest(similarity)))
+    weights = counted.groupBy("key").agg(F.sum("times").alias("weight"))
+    return stored(counted.where("upto >= least").select("h", "key", "n", "upto").join(weights, "key"))
 
-    Of two such members one at least is outside the group's largest component, so only those are held against the others.
-    """
+
+def undecided(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The written rows of ``met`` whose group has members in different components by ``roots`` (key, root), with root
+    and ``main``, the group's largest component."""
     known = stored(met.join(roots, "key"))
     parts = known.groupBy("h", "root").agg(F.count("*").alias("c"))
     main = stored(parts.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main"))
-    open_ = stored(known.join(main, "h"))
-    few = open_.where("root != main").select("h", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    pairs = few.join(open_, "h").where((F.col("root") != F.col("root_x")) & fits("n", "n_x", similarity))
+    return stored(known.join(main, "h"))
+
+
+def to_pivots(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of each member of an undecided group and the group's pivots in other components.
+
+    A pivot is one member of the largest component, and one of the rest, for every step of size, the weightiest; members
+    are held against those of their own step and the next ones.
+    """
+    sized = rows.withColumn("level", F.floor(F.log("n") / -math.log(similarity)))
+    pivots = sized.groupBy("h", "level", (F.col("root") == F.col("main")).alias("inner")).agg(F.max(F.struct("weight", "key", "n", "upto", "root")).alias("p"))
+    near = sized.select("h", "key", "n", "upto", "root", F.explode(F.array(*(F.col("level") + d for d in (-1, 0, 1)))).alias("level"))
+    star = near.join(pivots, ["h", "level"]).where((F.col("root") != F.col("p.root")) & fits("n", "p.n", similarity))
+    return star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
+
+
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one undecided group that are in different components.
+
+    Of two such members one at least is outside the group's largest component, so only those are held against the others.
+    """
+    few = rows.where("root != main").select("h", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("upto").alias("upto_x"), F.col("root").alias("root_x"))
+    pairs = few.join(rows, "h").where((F.col("root") != F.col("root_x")) & fits("n", "n_x", similarity))
     return pairs.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct()
 
 

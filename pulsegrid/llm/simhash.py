@@ -133,11 +133,14 @@ def near_links(documents: DataFrame, fp_of: DataFrame, hung: DataFrame, similari
         return stars(trees.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sides))
 
     texts, root = near_copies.keyed(documents), roots(hung)
-    met = near_copies.groups(texts, similarity, near_copies.WORDS)
-    hung = merged(hung, root, near_copies.verified(texts, near_copies.to_smallest(met, similarity), similarity, near_copies.WORDS))
-    root = roots(hung)
-    rest = near_copies.verified(texts, near_copies.across(met, root, similarity), similarity, near_copies.WORDS)
-    return hung if rest.isEmpty() else merged(hung, root, rest)
+    met = near_copies.weighed(near_copies.groups(texts, similarity, near_copies.WORDS), similarity)
+    for candidates in (near_copies.to_pivots, near_copies.across):
+        pairs = candidates(near_copies.undecided(met, root), similarity)
+        found = near_copies.verified(texts, pairs, similarity, near_copies.WORDS)
+        if not found.isEmpty():
+            hung = merged(hung, root, found)
+            root = roots(hung)
+    return hung
 
 
 def grouped(documents: DataFrame, width: int, distance: int, crowded: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
