@@ -133,11 +133,20 @@ def prefixes(texts: DataFrame, similarity: float, width: int) -> DataFrame:
 
 
 def groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The written table h, key, n, pos of texts that share a first shingle with a different text."""
-    rows = prefixes(texts, similarity, width)
+    """The written table h, key, n, pos, hot, times, least of texts that share a first shingle with a different text: how
+    many do, and the size of the smallest.
+
+    Rows of a shingle that isn't hot are dealt once, by the shingle; what is asked of its group is answered there. Those of
+    hot ones are spread out, and their groups' figures (COMMON at most) are broadcast.
+    """
+    dealt = prefixes(texts, similarity, width).repartition("h", "salt").select("h", "salt", "key", "n", "pos").distinct()
     same = Window.partitionBy("h", "salt")
-    met = rows.withColumns({"__low": F.min("key").over(same), "__high": F.max("key").over(same)})
-    return stored(met.where(F.col("salt").isNotNull() | (F.col("__low") != F.col("__high"))).select("h", "key", "n", "pos").distinct())
+    hot = F.col("salt").isNotNull()
+    met = dealt.select("h", "key", "n", "pos", hot.alias("hot"), F.count("*").over(same).alias("times"), F.min("n").over(same).alias("least"))
+    met = stored(met.where("hot or times > 1"))
+    figures = met.where("hot").groupBy("h").agg(F.count("*").alias("times"), F.min("n").alias("least"))
+    spread = met.where("hot").drop("times", "least").join(F.broadcast(figures), "h")
+    return met.where("not hot").unionByName(spread)
 
 
 def largest(similarity: float):
@@ -154,31 +163,35 @@ def fits(a: str, b: str, similarity: float):
 def weighed(met: DataFrame, similarity: float) -> DataFrame:
     """``met`` without members that can meet no size in their group; with ``upto``, the largest they can, and ``weight``: how often others have a text's first shingles. What an edited copy changed is rare and
     stands first in it, so of a group of near copies the one that the others were made from weighs most."""
-    times = met.groupBy("h").agg(F.count("*").alias("times"), F.min("n").alias("least"))
-    counted = stored(met.join(times, "h").withColumn("upto", largest(similarity)))
-    weights = counted.groupBy("key").agg(F.sum("times").alias("weight"))
-    return stored(counted.where("upto >= least").select("h", "key", "n", "upto").join(weights, "key"))
+    counted = met.withColumns({"upto": largest(similarity), "weight": F.sum("times").over(Window.partitionBy("key"))})
+    return stored(counted.where("upto >= least").select("h", "key", "n", "upto", "hot", "weight"))
 
 
 def undecided(met: DataFrame, roots: DataFrame) -> DataFrame:
     """The written rows of ``met`` whose group has members in different components by ``roots`` (key, root), with root
-    and ``main``, the group's largest component."""
+    and ``main``, the group's largest component. Groups of hot shingles (COMMON at most) aren't put in one place."""
     known = stored(met.join(roots, "key"))
-    parts = known.groupBy("h", "root").agg(F.count("*").alias("c"))
-    main = stored(parts.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main"))
-    return stored(known.join(main, "h"))
+    same, part = Window.partitionBy("h"), Window.partitionBy("h", "root")
+    cold = known.where("not hot").repartition("h").withColumn("c", F.count("*").over(part))
+    cold = cold.withColumns({"main": F.max(F.struct("c", "root")).over(same)["root"], "__low": F.min("root").over(same), "__high": F.max("root").over(same)})
+    parts = known.where("hot").groupBy("h", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
+    return stored(cold.where("__low != __high").drop("c", "__low", "__high").unionByName(known.where("hot").join(F.broadcast(main), "h")))
 
 
 def to_pivots(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, of each member of an undecided group and the group's pivots in other components.
 
     A pivot is one member of the largest component, and one of the rest, for every step of size, the weightiest; members
-    are held against those of their own step and the next ones.
+    are held against those of their own step and the next ones. A group has two pivots a step at most, so they are
+    joined as one array of a length that only the sizes of texts bound, by their logarithm.
     """
     sized = rows.withColumn("level", F.floor(F.log("n") / -math.log(similarity)))
-    pivots = sized.groupBy("h", "level", (F.col("root") == F.col("main")).alias("inner")).agg(F.max(F.struct("weight", "key", "n", "upto", "root")).alias("p"))
-    near = sized.select("h", "key", "n", "upto", "root", F.explode(F.array(*(F.col("level") + d for d in (-1, 0, 1)))).alias("level"))
-    star = near.join(pivots, ["h", "level"]).where((F.col("root") != F.col("p.root")) & fits("n", "p.n", similarity))
+    best = sized.groupBy("h", "level", (F.col("root") == F.col("main")).alias("inner")).agg(F.max(F.struct("weight", "key", "n", "upto", "root")).alias("p"))
+    pivots = best.groupBy("h").agg(F.collect_list(F.struct("level", "p")).alias("pivots"))
+    near = F.filter("pivots", lambda x: (F.abs(x["level"] - F.col("level")) <= 1) & (x["p"]["root"] != F.col("root")))
+    star = sized.select("h", "key", "n", "upto", "root", "level").join(pivots, "h").select("key", "n", "upto", F.explode(near).alias("x"))
+    star = star.select("key", "n", "upto", F.col("x.p").alias("p")).where(fits("n", "p.n", similarity))
     return star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
 
 
