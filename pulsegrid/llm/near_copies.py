@@ -216,17 +216,23 @@ def attached(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The written pairs (a, b) whose texts are that similar."""
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """The written table key, n, bits of all texts. Joins move these few bytes of a text, not the text."""
+
+    def run(batch):
+        sets = [shingle_set(t, width) for t in batch["text"]]
+        return {"key": batch["key"], "n": [len(s) for s in sets], "bits": [sketch(s) for s in sets]}
+
+    return stored(map_arrow(texts, run, "key long, n int, bits binary").dropDuplicates(["key"]))
+
+
+def verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The written pairs (a, b) whose texts are that similar. ``bits``: the texts' sketches."""
     pairs = stored(pairs)
     if pairs.isEmpty():
         return pairs
     target = arrow_schema("a long, b long")
 
-    def run_sketch(batch):
-        sets = [shingle_set(t, width) for t in batch["text"]]
-        return {"key": batch["key"], "n": [len(s) for s in sets], "bits": [sketch(s) for s in sets]}
-
     def may_be(batches):
         for batch in batches:
             bits = [np.frombuffer(b"".join(batch.column(f"bits_{side}").to_pylist()), np.uint64).reshape(batch.num_rows, SKETCH_BITS // 64) for side in "ab"]
@@ -247,9 +253,8 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int)
                         found.append((r["a"], r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=target)
 
-    wanted = texts.join(stored(keys_of(pairs)), "key", "left_semi")
-    sketches = map_arrow(wanted, run_sketch, "key long, n int, bits binary").dropDuplicates(["key"])
-    close = stored(attached(pairs, sketches).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_be, "a long, b long"))
+    wanted = bits.join(stored(keys_of(pairs)), "key", "left_semi")
+    close = stored(attached(pairs, wanted).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_be, "a long, b long"))
     once = texts.join(stored(keys_of(close)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put in one task
     return stored(attached(close.repartition(tasks, "a", "b"), once).select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))

@@ -133,10 +133,11 @@ def near_links(documents: DataFrame, fp_of: DataFrame, hung: DataFrame, similari
         return stars(trees.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sides))
 
     texts, root = near_copies.keyed(documents), roots(hung)
+    bits = near_copies.sketches(texts, near_copies.WORDS)
     met = near_copies.weighed(near_copies.groups(texts, similarity, near_copies.WORDS), similarity)
     for candidates in (near_copies.to_pivots, near_copies.across):
         pairs = candidates(near_copies.undecided(met, root), similarity)
-        found = near_copies.verified(texts, pairs, similarity, near_copies.WORDS)
+        found = near_copies.verified(texts, bits, pairs, similarity, near_copies.WORDS)
         if not found.isEmpty():
             hung = merged(hung, root, found)
             root = roots(hung)
