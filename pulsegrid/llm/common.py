@@ -19,6 +19,8 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 PIECE_BYTES = 2_000_000
+#: Of the filter that ``marked`` broadcasts: a million words.
+MOST_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +49,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage``, as a Parquet table: Spark knows its size, so it can check whether a broadcast is small enough."""
+    """Like ``cut_lineage``, as a Parquet table: Spark knows its size, so it can check whether a broadcast is small enough.
+
+    Without the marker of success, which nobody reads: on a local file system the driver starts two processes to write it.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, value: Column, among: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: true wherever ``value`` (a hash, not null) is one of ``among`` (one column, written), and for about one in 32 others.
+
+    A Bloom filter with one bit a hash, broadcast as 64-bit words, so that of many rows only few have to be shuffled for an
+    exact join. It has 32 bits for each row of ``among``, MOST_BITS at most; beyond that more of the others are true.
+    """
+    bits, wanted = 64, min(32 * among.count(), MOST_BITS)
+    while bits < wanted:
+        bits *= 2
+    word = lambda h: F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6)
+    held = among.toDF("__h").select(word(F.col("__h")).alias("__word"), F.expr("shiftleft(1L, int(__h & 63))").alias("__bit"))
+    words = stored(held.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    joined = rows.withColumn("__h", value).join(F.broadcast(words), word(F.col("__h")) == F.col("__word"), "left")
+    return joined.withColumn("__may", F.expr("coalesce(shiftrightunsigned(__bits, int(__h & 63)) & 1L, 0L) = 1L")).drop("__h", "__word", "__bits")
+
+
 def hash_bound(most: int, n: int) -> int:
     """The 64-bit hash up to which about half as many again as ``most`` of ``n`` rows lie; the greatest where that is all."""
     return min((1 << 63) - 1, ((1 << 64) * (3 * most + 200)) // (2 * max(1, n)) - (1 << 63))

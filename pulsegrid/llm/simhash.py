@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import near_copies
-from pulsegrid.llm.common import cut_lineage, map_arrow, stored, table
+from pulsegrid.llm.common import cut_lineage, map_arrow, marked, stored, table
 from pulsegrid.llm.near_copies import shingle_hashes
 
 SHINGLE_WORDS = 3
@@ -74,8 +74,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> D
     if not 0 <= distance <= 2:
         raise ValueError("the grid has cells for a distance of 0 to 2 bits")
     members = cells(fps, distance)
-    shared = cut_lineage(members.groupBy("cell").count().where("count > 1"))
-    met = cut_lineage(members.join(shared, "cell"))
+    shared = stored(members.groupBy("cell").count().where("count > 1"))
+    # most cells hold one fingerprint: their rows aren't shuffled again
+    met = stored(marked(members, F.xxhash64("cell"), shared.select(F.xxhash64("cell"))).where("__may").drop("__may").join(shared, "cell"))
     few, many = met.where(F.col("count") <= crowded), met.where(F.col("count") > crowded)
     a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
     point_a, point_b = bit_counts(F.col("a")), bit_counts(F.col("b"))

@@ -1,10 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import simhash
+from pulsegrid.llm import common, simhash
 from pulsegrid.llm.common import table
 
 
@@ -97,3 +98,24 @@ def test_query_components(spark, sf):
 def test_distance_beyond_the_grid_is_refused(spark):
     with pytest.raises(ValueError, match="0 to 2"):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def test_filter_marks_all_of_a_set_and_few_others(spark, monkeypatch):
+    rows, among = spark.range(20_000).withColumn("h", F.xxhash64("id")), spark.range(0, 20_000, 40).select(F.xxhash64("id"))
+    got = {r.id for r in common.marked(rows, F.col("h"), among).where("__may").collect()}
+    assert got >= set(range(0, 20_000, 40)) and len(got) < 500 + 20_000 / 16
+    assert not common.marked(rows, F.col("h"), among.limit(0)).where("__may").count()
+    monkeypatch.setattr(common, "MOST_BITS", 64)
+    got = {r.id for r in common.marked(rows, F.col("h"), among).where("__may").collect()}
+    assert got >= set(range(0, 20_000, 40))
+
+
+def test_only_rows_of_shared_cells_are_joined_and_tables_have_no_marker(spark, monkeypatch):
+    """What follows the filter holds all rows of shared cells and few of the others; the driver starts no process for a table."""
+    seen, own = [], simhash.marked
+    monkeypatch.setattr(simhash, "marked", lambda *a: seen.append((a[0], own(*a))) or seen[-1][1])
+    draw = random.Random(3)
+    df = spark.createDataFrame([(signed(draw.getrandbits(64)),) for _ in range(2000)], "fp long")
+    simhash.stars(simhash.links(df)).collect()
+    assert seen[0][1].where("__may").count() < seen[0][0].count() / 5
+    assert not list(Path(common.shared_dir(spark).removeprefix("file:")).glob("table-*/_SUCCESS"))
