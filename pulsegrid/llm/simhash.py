@@ -184,11 +184,20 @@ def deduplicate(documents: DataFrame, width: int = SHINGLE_WORDS, distance: int
     known = stored(known.withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "key")))
     best = stored(known.groupBy("root").agg(F.min("place").alias("best")))
     gone = stored(known.join(best, "root").where("place != best or rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("place") == F.col("best")).alias("__first")))
-    key = F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
-    joined = plain.join(gone, ident.eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    may, same = suspects(plain, ident, F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b""))), gone)
+    joined = may.where("__may").join(gone, same, "left")
     once = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
     again = joined.where("__first").withColumn("__at", once).where("__at = 1")
-    return joined.where("__first is null").select(*plain.columns).unionByName(again.select(*plain.columns)).toDF(*names)
+    stay = may.where("not __may").unionByName(joined.where("__first is null").select(*may.columns)).select(*plain.columns)
+    return stay.unionByName(again.select(*plain.columns)).toDF(*names)
+
+
+def suspects(plain: DataFrame, ident: Column, key: Column, gone: DataFrame) -> tuple[DataFrame, Column]:
+    """``plain`` with ``__may``, true for all rows that ``gone`` (__id, __key, written) lists and few others: the rest stays
+    without its texts being shuffled. And the condition that joins the two exactly."""
+    value = lambda i, k: F.xxhash64(i.cast("long"), k)
+    listed = gone.select(value(F.col("__id"), F.col("__key")))
+    return marked(plain, value(ident, key), listed), ident.eqNullSafe(F.col("__id")) & (key == F.col("__key"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

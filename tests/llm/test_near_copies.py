@@ -86,3 +86,19 @@ def test_stage_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     out = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
     assert {r.doc_id for r in out} == brute_kept(texts) and not {145, 177} & {r.doc_id for r in out}
+
+
+def test_texts_that_are_alone_are_not_shuffled_to_remove_copies(spark, monkeypatch):
+    """The removal's join meets the rows of near and exact copies and few others; nothing else changes."""
+    seen, own = [], simhash.suspects
+    monkeypatch.setattr(simhash, "suspects", lambda *a: seen.append((a[3], own(*a))) or seen[-1][1])
+    texts = made(4, 5) | {100 + k: f"text {k} of its own about nothing but {k * k}" for k in range(200)}
+    rows = [*texts.items(), (None, texts[100]), (100, texts[100]), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in simhash.deduplicate(docs, similarity=0.8).collect())
+    stay = brute_kept(texts)
+    assert out == sorted([(k, texts[k]) for k in stay] + [(-1, "")])
+    gone, (may, _) = seen[0]
+    found = {(r.c0, r.c1) for r in may.where("__may").select("c0", "c1").collect()}
+    assert found >= {(k, t) for k, t in texts.items() if k not in stay} | {(None, texts[100]), (100, texts[100])}
+    assert len(found) < 16 + 4 + 200 / 4 and gone.count() >= 18
