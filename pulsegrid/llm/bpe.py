@@ -5,7 +5,7 @@ holds the least rank and, among equals, the leftmost place. A merge updates thre
 root, until no pair can merge; a piece of n symbols takes O(n log n) whatever its length.
 
 A text is cut at white space first. Cutting there never changes the tokens, so equal chunks are encoded once per task
-and kept in a memo of bounded size.
+and kept in a memo of bounded size. Cutting a piece again gives the piece, so chunks and pieces share one memo.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from functools import cache
@@ -24,7 +25,9 @@ from pulsegrid.llm.common import map_arrow, table
 #: White space as the pre-tokenizer has it (Python's own class holds four control characters more). A fixed value.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
+#: Of the memo's two halves together, in a worker: entries, their bytes (with what a dict takes for each). No longer text is kept.
+MEMO_ENTRIES, MEMO_BYTES, MEMO_CHARS = 400_000, 80_000_000, 48
+ENTRY_BYTES = 80
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -103,10 +106,11 @@ class Tokenizer:
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.pieces = re.compile(piece_pattern())
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "words": {}}
+        return self.__dict__ | {"memo": {}, "older": {}, "memo_bytes": 0}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token.
@@ -160,25 +164,32 @@ class Tokenizer:
                     k >>= 1
         return [i for i in ids if i >= 0]
 
-    def piece(self, text: str) -> list[int]:
-        ids = self.words.get(text)
-        if ids is None:
-            ids = self.merge(text.encode())
-            if len(text) <= MEMO_CHARS:
-                if len(self.words) >= MEMO_ENTRIES:
-                    self.words.clear()
-                self.words[text] = ids
-        return ids
-
-    def chunk(self, text: str) -> bytes:
-        """Ids of a chunk between cuts, as little-endian 32-bit integers."""
-        packed = array("I", [i for p in self.pieces.findall(text) for i in self.piece(p)]).tobytes()
+    def keep(self, text: str, packed: bytes) -> bytes:
+        """Puts an entry into the newer half of the memo. When that is full it becomes the older one, whose entries come back as they are used."""
         if len(text) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+            if 2 * len(self.memo) >= MEMO_ENTRIES or 2 * self.memo_bytes >= MEMO_BYTES:
+                self.older, self.memo, self.memo_bytes = self.memo, {}, 0
             self.memo[text] = packed
+            self.memo_bytes += sys.getsizeof(text) + sys.getsizeof(packed) + ENTRY_BYTES
         return packed
 
+    def piece(self, text: str) -> bytes:
+        packed = self.memo.get(text)
+        if packed is not None:
+            return packed
+        packed = self.older.get(text)
+        return self.keep(text, array("I", self.merge(text.encode())).tobytes() if packed is None else packed)
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk between cuts, as little-endian 32-bit integers."""
+        packed = self.older.get(text)
+        if packed is None:
+            pieces = self.pieces.findall(text)
+            if len(pieces) == 1:
+                return self.piece(text)
+            packed = b"".join([self.piece(p) for p in pieces])
+        return self.keep(text, packed)
+
     def encode_packed(self, text: str) -> bytes:
         if self.specials and any(s in text for s in self.special):
             parts = self.specials.split(text)
@@ -189,7 +200,10 @@ class Tokenizer:
         get, out = self.memo.get, []
         for c in CHUNKS.findall(text):
             packed = get(c)
-            out.append(self.chunk(c) if packed is None else packed)
+            if packed is None:
+                packed = self.chunk(c)
+                get = self.memo.get
+            out.append(packed)
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,38 @@ def python_list(column: pa.Array) -> list:
         return [None if v is None else v.decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()]
 
 
+@cache
+def trimmer() -> Callable[[int], int]:
+    """The C library's ``malloc_trim``, or where it has none nothing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda pad: 0
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, but a worker gives free memory back to the system with each batch and at the end. It lives on after its task,
+    and the allocators would keep what the largest batch of any stage took."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def release() -> None:
+            pa.default_memory_pool().release_unused()
+            trimmer()(0)
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        try:
+            yield from run(each())
+        finally:
+            release()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Runs ``fn`` over pieces of Arrow batches as dicts of Python lists; it returns a dict of lists in the order of ``schema``."""
     target = arrow_schema(schema)
@@ -135,7 +169,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
                 out = fn({name: python_list(part.column(i)) for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import arrow_schema, table
+from pulsegrid.llm.common import arrow_schema, released, table
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and bytes of non-ASCII characters.
 WORD_BYTES = bytes(
@@ -230,7 +230,7 @@ def _scanned(documents: DataFrame, blocks: list, columns: list[str], schema: str
                     yield from rows(part, found, target)
                     first, size = k + 1, 0
 
-    return documents.select(*columns, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*columns, F.col("text").cast("binary").alias("__text")).mapInArrow(released(run), schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import arrow_schema, map_arrow, pieces, stored, text_batches
+from pulsegrid.llm.common import arrow_schema, map_arrow, pieces, released, stored, text_batches
 
 SEED = 42
 WORDS = 5
@@ -129,7 +129,7 @@ def prefixes(texts: DataFrame, similarity: float, width: int) -> DataFrame:
                 many = (common[at] == h) & hot[at]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place), pa.array(key, mask=~many)], schema=target)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(released(run), schema)
 
 
 def groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -254,8 +254,8 @@ def verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, similarity: fl
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=target)
 
     wanted = bits.join(stored(keys_of(pairs)), "key", "left_semi")
-    close = stored(attached(pairs, wanted).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(may_be, "a long, b long"))
+    close = stored(attached(pairs, wanted).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(released(may_be), "a long, b long"))
     once = texts.join(stored(keys_of(close)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put in one task
-    return stored(attached(close.repartition(tasks, "a", "b"), once).select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    return stored(attached(close.repartition(tasks, "a", "b"), once).select("a", "b", "text_a", "text_b").mapInArrow(released(compare), "a long, b long"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_list, remainder, table
+from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_list, released, remainder, table
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
@@ -256,7 +256,7 @@ def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sett
                 keep = [held.value.score(t or "") < threshold for t in python_list(part.column(part.schema.names.index(at)))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(released(run), plain.schema).toDF(*names)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

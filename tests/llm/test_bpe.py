@@ -1,3 +1,4 @@
+import pickle
 import random
 from array import array
 
@@ -69,6 +70,37 @@ def test_a_long_piece_and_a_small_memo(own, library, monkeypatch):
     assert own.encode(words) == library.encode(words, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("entries", "size"), [(200, 10**9), (10**9, 40_000)])
+def test_what_a_worker_keeps_is_bounded_in_all(own, library, monkeypatch, entries, size):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", entries)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", size, raising=False)
+    tokenizer = pickle.loads(pickle.dumps(own))
+    held = lambda: sum(len(v) for v in vars(tokenizer).values() if isinstance(v, dict))
+    fixed, most = held(), 0
+    for k in range(1000):
+        text = f"the wörd{k * 7919}x, again{k}; it's {'ж' * (k % 40)}{k}"
+        assert tokenizer.encode(text) == library.encode(text, add_special_tokens=False).ids
+        most = max(most, held() - fixed)
+    assert 50 < most <= 200  # an entry takes over 200 bytes
+    assert "the" in tokenizer.memo or "the" in tokenizer.older  # what recurs is still there
+    assert pickle.loads(pickle.dumps(tokenizer)).memo == {}
+
+
+def test_a_worker_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from pulsegrid.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "trimmer", lambda: calls.append)
+    batches = [pa.RecordBatch.from_pydict({"x": [k]}) for k in range(3)]
+    assert list(common.released(lambda some: (b for b in some))(iter(batches))) == batches and len(calls) == 4
+    left = common.released(lambda some: (b for b in some))(iter(batches))
+    next(left)
+    left.close()
+    assert len(calls) == 5
+
+
 def test_query(spark, sf, library):
     import hashlib
 
