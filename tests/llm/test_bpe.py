@@ -1,6 +1,9 @@
+import hashlib
 import pickle
 import random
 from array import array
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import public_tokenizers
 import pytest
@@ -101,6 +104,35 @@ def test_a_worker_gives_memory_back(monkeypatch):
     assert len(calls) == 5
 
 
+def test_a_forest_merges_like_a_tree(own):
+    draw = random.Random(4)
+    pieces = [bytes(draw.choices(b"abetinosr \xc3\xa9", k=n % 70)) for n in range(3000)] + [b"a" * 255, b"ab" * 128, b"in" * 300, b"the" * 200] * 20
+    assert own.merge_all(pieces) == [array("I", naive(own, p)).tobytes() for p in pieces]
+    assert own.merge_all([]) == []
+
+
+def test_pieces_of_a_batch_are_merged_side_by_side(own, library, monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abetinosrè", k=draw.randint(3, 40))) for _ in range(200)) for _ in range(20)]
+    run, alone, merge = [], [], bpe.Tokenizer.merge
+    monkeypatch.setattr(bpe, "map_arrow", lambda df, fn, schema: run.append(fn))
+    monkeypatch.setattr(bpe.Tokenizer, "merge", lambda self, piece: alone.append(piece) or merge(self, piece))
+    held, frame = SimpleNamespace(value=pickle.loads(pickle.dumps(own))), MagicMock()
+    frame.sparkSession.sparkContext.broadcast.return_value = held
+    bpe.digests(frame, bpe.default_path())
+    rows = run[0]({"doc_id": list(range(20)), "text": texts})
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert rows["n_tokens"] == [len(i) for i in ids]
+    assert rows["ids_sha256"] == [hashlib.sha256(array("I", i).tobytes()).hexdigest() for i in ids]
+    assert len(alone) < 200  # of about 4,000 different pieces
+
+
+def test_a_text_of_many_chunks_is_looked_up_in_steps(own, library, monkeypatch):
+    monkeypatch.setattr(bpe, "STEP", 5)
+    texts = ["", "one two<|endoftext|> three four five six<|endoftext|><|endoftext|>seven  eight\n\n nine ten", "<|endoftext|>"]
+    assert [array("I", p).tolist() for p in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query(spark, sf, library):
     import hashlib
 
