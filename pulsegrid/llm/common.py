@@ -136,15 +136,17 @@ def trimmer() -> Callable[[int], int]:
         return lambda pad: 0
 
 
+def release() -> None:
+    """Gives memory that this process has free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trimmer()(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, but a worker gives free memory back to the system with each batch and at the end. It lives on after its task,
     and the allocators would keep what the largest batch of any stage took."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def release() -> None:
-            pa.default_memory_pool().release_unused()
-            trimmer()(0)
-
         def each() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch

@@ -12,16 +12,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_list, released, remainder, table
+from pulsegrid.llm.common import drawn, hash_bound, map_arrow, pieces, python_list, release, released, remainder, table
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
@@ -51,6 +52,8 @@ IDENTITY = (
     ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"), ("sordo", "ciego", "discapacitado"), ("inmigrante", "refugiado"),
 )
 MEMO_WORDS = 250_000
+#: Words, or links of a sparse table, that the fit has in Python objects or in temporary arrays at once.
+BLOCK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -79,6 +82,23 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def feature_links(words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """``features_of`` for many words at once: the word's place and the feature, by kind of feature."""
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    long_enough = [np.flatnonzero(length >= n).astype(np.int32) for n in PREFIXES]
+    begun = [pc.utf8_slice_codeunits(words.take(pa.array(at)), 0, n) for n, at in zip(PREFIXES, long_enough, strict=True)]
+    whole = pc.binary_join_element_wise(pa.scalar("="), words, pa.scalar(""))
+    return np.concatenate([np.arange(len(words), dtype=np.int32), *long_enough]), pa.concat_arrays([whole, *begun])
+
+
+def summed(to: np.ndarray, at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The sums of ``values[at]`` by ``to``, in the order of the links."""
+    out = np.zeros(size)
+    for k in range(0, len(to), BLOCK):
+        np.add.at(out, to[k : k + BLOCK], values[at[k : k + BLOCK]])
+    return out
+
+
 @cache
 def counterparts(identity: tuple[tuple[str, ...], ...]) -> dict[str, tuple[str, ...]]:
     """What can stand in each term's place. A term of several tuples has the others of all of them, each once."""
@@ -126,51 +146,68 @@ def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settin
     """``rows``: a text's different words, its label and its swaps. Accelerated proximal gradient, every row each step.
 
     Texts hold words and words hold features, as two sparse tables, so a word's features are gone through once whatever
-    the number of its texts. Without rows the model is empty and scores 0 everywhere; with one label only, its score is
-    that label's share.
+    the number of its texts. Words and features are held in Arrow arrays and links as 32-bit numbers: as Python objects
+    they take many times the memory, all of it the driver's. Without rows the model is empty and scores 0 everywhere;
+    with one label only, its score is that label's share.
     """
-    number: dict[str, int] = {}
-    texts, labels, pairs = [], [], []
+    some: list[str] = []
+    parts, lengths, labels, pairs = [], [], [], Counter()
     for words, label_, swapped in rows:
-        texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64))
+        before = len(some)
+        some += words
+        lengths.append(len(some) - before)
         labels.append(label_)
-        pairs += swapped
-    if not texts:
+        pairs.update(swapped)
+        if len(some) >= BLOCK:
+            parts.append(pa.array(some, pa.string()).dictionary_encode())
+            some = []
+    if not lengths:
         return Model(bias=-30.0)
-    n, label = len(texts), np.array(labels, float)
-    text, word = np.repeat(np.arange(n), [len(t) for t in texts]), np.concatenate(texts)
-    del texts
-    times = np.bincount(word, minlength=len(number)).tolist()
-    seen: Counter[str] = Counter()
-    for w, k in number.items():
-        for f in features_of(w):
-            seen[f] += times[k]
-    index = {f: k for k, f in enumerate(sorted(f for f, c in seen.items() if c >= settings.min_documents))}
-    m, w_ = len(index), len(number)
-    links = [(k, index[f]) for w, k in number.items() for f in features_of(w) if f in index]
-    holder, feature = (np.array(c, np.int64) for c in (zip(*links, strict=True) if links else ((), ())))
-    del links, seen, times
-    changes = [(k, index[f], sign) for k, swap in enumerate(pairs) for w, sign in zip(swap, (1.0, -1.0), strict=True) for f in features_of(w) if f in index]
+    coded = pa.chunked_array([*parts, pa.array(some, pa.string()).dictionary_encode()]).unify_dictionaries().combine_chunks()
+    del parts, some
+    n, label = len(lengths), np.array(labels, float)
+    text, word = np.repeat(np.arange(n, dtype=np.int32), lengths), coded.indices.to_numpy()
+    w_ = len(coded.dictionary)
+    holder, feature = feature_links(coded.dictionary)
+    del coded
+    feature = feature.dictionary_encode()
+    times = np.zeros(w_, np.int64)
+    for k in range(0, len(word), BLOCK):
+        times += np.bincount(word[k : k + BLOCK], minlength=w_)
+    enough = summed(feature.indices.to_numpy(), holder, times, len(feature.dictionary)) >= settings.min_documents
+    names = feature.dictionary.filter(pa.array(enough))
+    order = pc.sort_indices(names)
+    names, m = names.take(order), len(names)
+    place = np.full(len(enough), -1, np.int32)
+    place[np.flatnonzero(enough)[order.to_numpy()]] = np.arange(m, dtype=np.int32)
+    feature = place[feature.indices.to_numpy()]
+    holder, feature = holder[feature >= 0], feature[feature >= 0]
+    del times, enough, order, place
+    release()
+    changes = [(k, f, sign) for k, swap in enumerate(pairs) for w, sign in zip(swap, (1.0, -1.0), strict=True) for f in features_of(w)]
+    found = pc.index_in(pa.array([f for _, f, _ in changes], pa.string()), value_set=names).to_pylist()
+    changes = [(k, at, sign) for (k, _, sign), at in zip(changes, found, strict=True) if at is not None]
     d_row, d_column, d_value = (np.array(c, t) for c, t in zip(zip(*changes, strict=True) if changes else ((), (), ()), (np.int64, np.int64, float), strict=True))
+    often, swaps_ = np.array([*pairs.values()], float), pairs.total()
     weight = np.where(label > 0, settings.miss_cost, 1.0)
     weight /= weight.sum()
     share = min(max((weight * label).sum(), 1e-6), 1 - 1e-6)
 
     def margins(w: np.ndarray) -> np.ndarray:
-        return np.bincount(text, np.bincount(holder, w[feature], w_)[word], n)
+        return summed(text, word, summed(holder, feature, w, w_), n)
 
     def back(of_text: np.ndarray) -> np.ndarray:
-        return np.bincount(feature, np.bincount(word, of_text[text], w_)[holder], m)
+        return summed(feature, holder, summed(word, text, of_text, w_), m)
 
     def change(w: np.ndarray) -> np.ndarray:
-        delta = np.bincount(d_row, d_value * w[d_column], len(pairs))
-        return np.bincount(d_column, d_value * delta[d_row], m) * (2 * settings.counterfactual / len(pairs))
+        delta = np.bincount(d_row, d_value * w[d_column], len(pairs)) * often
+        return np.bincount(d_column, d_value * delta[d_row], m) * (2 * settings.counterfactual / swaps_)
 
     # A step of its own for each feature, from the diagonal of the curvature: rare features move as fast as frequent ones.
-    per_text = np.bincount(text, np.bincount(holder, minlength=w_)[word], n)
+    per_text = summed(text, word, np.bincount(holder, minlength=w_), n)
     curvature = back(np.minimum(per_text, 60.0) * weight) / 4 + settings.square
     if pairs:
-        curvature += np.bincount(d_column, minlength=m) * (2 * settings.counterfactual * 14 / len(pairs))
+        curvature += np.bincount(d_column, often[d_row], m) * (2 * settings.counterfactual * 14 / swaps_)
     step = 1 / np.maximum(curvature, 1e-9)
     w, bias = np.zeros(m), math.log(share / (1 - share))
     point, point_bias, t = w.copy(), bias, 1.0
@@ -189,7 +226,8 @@ def fit(rows: Iterable[tuple[Iterable[str], int, list[tuple[str, str]]]], settin
         point = moved + (t - 1) / t_next * (moved - w) if t_next > 1 else moved.copy()
         point_bias = moved_bias + (t - 1) / t_next * (moved_bias - bias) if t_next > 1 else moved_bias
         w, bias, t = moved, moved_bias, t_next
-    return Model({f: float(w[k]) for f, k in index.items() if w[k]}, float(bias))
+    kept = np.flatnonzero(w)
+    return Model(dict(zip(names.take(pa.array(kept)).to_pylist(), w[kept].tolist(), strict=True)), float(bias))
 
 
 def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
@@ -210,8 +248,17 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
         }
 
     schema = "doc_id long, words string, toxic int, swapped array<string>, by array<string>"
-    found = sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.words, r.toxic))
-    return fit(((r.words.split(), int(r.toxic > 0), list(zip(r.swapped, r.by, strict=True))) for r in found), settings)
+    found = map_arrow(rows, run, schema).toArrow()
+    order = pc.sort_indices(found, [(name, "ascending") for name in ("doc_id", "words", "toxic")]).to_pylist()  # nulls come last
+
+    def each() -> Iterator[tuple[list[str], int, list[tuple[str, str]]]]:
+        for k in order:
+            row = found.slice(k, 1).to_pylist()[0]
+            yield row["words"].split(), int(row["toxic"] > 0), list(zip(row["swapped"], row["by"], strict=True))
+
+    model = fit(each(), settings)
+    release()
+    return model
 
 
 def sampled_labels(labels: DataFrame, size: int) -> DataFrame:

@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import language, suffix_tree_lm, toxicity
@@ -85,6 +87,28 @@ def test_the_fit_is_a_minimum_of_the_written_out_objective():
             assert objective({**model.weights, f: model.weights.get(f, 0.0) + step}, model.bias) > least - 1e-5
 
 
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "über", "niñas", "𝒳𝒴𝒵𝒳𝒴", "moron", "longer_word", "日本語日本語日"]
+    holder, feature = toxicity.feature_links(pa.array(words))
+    links = list(zip(holder.tolist(), feature.to_pylist(), strict=True))
+    assert [[f for k, f in links if k == at] for at in range(len(words))] == [toxicity.features_of(w) for w in words]
+    assert toxicity.fit([([], 1, []), ([], 1, [])], toxicity.Settings()).score("moron") > 0.99  # no words, no features
+
+
+def test_the_fit_holds_no_python_object_for_a_link():
+    """What the driver holds beside its rows: with words, features and links as strings and tuples it was 25 MB."""
+    rng = random.Random(5)
+    texts = [sorted({f"{rng.randrange(300):06d}{rng.randrange(10**6)}" for _ in range(20)} | {"moron" if k % 9 == 0 else "house"}) for k in range(2_000)]
+    rows = [(w, int("moron" in w), [("woman", "man")] * 50) for w in texts]
+    toxicity.fit(rows[:10], toxicity.Settings(steps=1))
+    tracemalloc.start()
+    pool, model = pa.default_memory_pool().max_memory(), toxicity.fit(rows, toxicity.Settings(steps=20))
+    most = tracemalloc.get_traced_memory()[1] + pa.default_memory_pool().max_memory() - pool
+    tracemalloc.stop()
+    assert model.score("you moron") > 0.5 > model.score("my house")
+    assert most < 15e6
+
+
 def test_terms_of_several_groups_and_languages_swap_once_each():
     got = toxicity.swaps("Ein Muslim kam.", toxicity.IDENTITY)
     assert len(got) == len(set(got)) and {("muslim", "christian"), ("muslim", "katholik")} <= set(got)
